@@ -38,3 +38,8 @@ def clip(c: str | Column, lower: Column, upper: Column) -> Column:
 
 def bool_int(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
+
+
+def iso_ts(c: str | Column) -> Column:
+    """ISO-8601 text with microseconds (stable across engines)."""
+    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
