@@ -193,7 +193,8 @@ def align(df: DataFrame, feature_list, keep=()) -> DataFrame:
     cols = [
         (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f) for f in feature_list
     ]
-    return df.select(*[k for k in keep if k in have], *cols)
+    fl = set(feature_list)
+    return df.select(*[k for k in keep if k in have and k not in fl], *cols)
 
 
 def encode_label(c: str = "label") -> Column:
