@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIGITS = 6
+SCALE = float(10**DIGITS)
+# the same IEEE double arithmetic on both sides: sign(x) * floor(|x| * 1e6 + 0.5) / 1e6
+ROUND_SQL = "(sign({c}) * floor(abs({c}) * 1000000.0 + 0.5) / 1000000.0)"
+
+
+def round_half_away(c):
+    """Round to DIGITS decimals in plain double arithmetic (no BigDecimal per value)."""
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)
 
 
 @dataclass
@@ -29,14 +37,14 @@ class Query:
         if not self.rounded:
             return df
         r = set(self.rounded)
-        return df.select(*[F.round(F.col(c), DIGITS).alias(c) if c in r else F.col(c) for c in df.columns])
+        return df.select(*[round_half_away(F.col(c)).alias(c) if c in r else F.col(c) for c in df.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         if not self.rounded:
             return self.sql
-        rep = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in self.rounded)
+        rep = ", ".join(f'{ROUND_SQL.format(c=chr(34) + c + chr(34))} AS "{c}"' for c in self.rounded)
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) q"
 
 
