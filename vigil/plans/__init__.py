@@ -4,7 +4,7 @@
 def load_all():
     """Import every query module so REGISTRY is complete."""
     from vigil.plans import q_features  # noqa: F401
-    for mod in ("q_clean", "q_rules", "q_reports", "q_models", "q_explain", "q_sources"):
+    for mod in ("q_clean", "q_rules", "q_models", "q_explain", "q_sources"):
         try:
             __import__(f"vigil.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -73,7 +73,12 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(
         F.col("l_orderkey").alias("reading_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature")
-    ).agg(F.sum(F.col("l_discount") - F.col("l_tax")).alias("shap_value"))
+    ).agg(_round6(F.sum(F.col("l_discount") - F.col("l_tax"))).alias("shap_value"), F.sum("l_quantity").alias("value"))
+
+
+def _round6(c):
+    # contributions are rounded at the source so that ties in |shap| are exact on every engine
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
 def lineitem_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +141,8 @@ FROM readings r
 
 CONTRIBUTIONS_SQL = """
 SELECT l_orderkey AS reading_id, 'f' || CAST(l_linenumber AS VARCHAR) AS feature,
-       sum(l_discount - l_tax) AS shap_value
+       sign(sum(l_discount - l_tax)) * floor(abs(sum(l_discount - l_tax)) * 1000000.0 + 0.5) / 1000000.0 AS shap_value,
+       sum(l_quantity) AS value
 FROM lineitem GROUP BY 1, 2
 """
 
