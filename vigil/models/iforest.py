@@ -174,7 +174,8 @@ def _score_frame(df: DataFrame, model: IsolationForestModel, offset: float, out_
                 pdf["is_anomaly"] = s < threshold
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    n = max(2 * sc.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartition(n).mapInPandas(run, schema)
 
 
 def fit_isolation_forest(df: DataFrame, features, n_trees: int = 100, psi: int = 256, contamination: float = 0.1,
