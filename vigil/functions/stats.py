@@ -23,60 +23,102 @@ def quantile_exprs(c: str, ps, exact: bool = True, accuracy: int = _ACCURACY) ->
     return [F.percentile_approx(F.col(c), F.lit(p), accuracy) for p in ps]
 
 
-def exact_quantiles(df: DataFrame, targets: dict[str, list[float]], accuracy: int = _ACCURACY) -> dict:
+def exact_quantiles(df: DataFrame, targets: dict[str, list[float]], accuracy: int = _ACCURACY,
+                    max_rounds: int = 8) -> dict:
     """Exact linear-interpolation quantiles without holding every distinct value.
 
-    ``percentile`` keeps a count per distinct value in one final task, which
-    does not scale to billions of distinct doubles. Instead each pass is a scan
-    with partial aggregation: ``percentile_approx`` brackets the two order
-    statistics around rank (n-1)p, the rows below the bracket are counted, and
-    the bracket is narrowed until it holds at most ``_DIRECT_ROWS`` values,
-    which are then ranked exactly. Returns {(col, p): value}.
+    ``percentile`` keeps a count per distinct value and merges them in one final
+    task, which does not scale to billions of distinct doubles. Here every pass
+    is a scan with map-side partial aggregation, batched over all targets:
+    ``percentile_approx`` brackets each needed order statistic (ranks around
+    (n-1)p), one ``count_if`` pass counts rows below and inside the brackets,
+    and brackets shrink by about accuracy/4 per round until each holds at most
+    ``_DIRECT_ROWS`` values, which are then ranked exactly (a bounded top-k).
+    Returns {(col, p): value}.
     """
     cols = list(targets)
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    out = {}
+    x = df.select(*cols)
+    counts = x.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+    keys = set()
     for c in cols:
         n = counts[c]
         for p in targets[c]:
-            if n == 0:
-                out[(c, p)] = None
+            if n:
+                h = (n - 1) * p
+                keys |= {(c, int(h // 1)), (c, int(-(-h // 1)))}
+    out_k = order_statistics(x, keys, {c: counts[c] for c in cols}, accuracy, max_rounds)
+    res = {}
+    for c in cols:
+        n = counts[c]
+        for p in targets[c]:
+            if not n:
+                res[(c, p)] = None
                 continue
             h = (n - 1) * p
             lo_k, hi_k = int(h // 1), int(-(-h // 1))
-            v_lo = _kth(df, c, lo_k, n, accuracy)
-            v_hi = v_lo if hi_k == lo_k else _kth(df, c, hi_k, n, accuracy)
-            out[(c, p)] = v_lo + (h - lo_k) * (v_hi - v_lo)
-    return out
-
-
-def _kth(df: DataFrame, c: str, k: int, n: int, accuracy: int):
-    """k-th smallest (0-based) non-null value of c by bracket refinement."""
-    x = df.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
-    lo, hi, below, size = None, None, 0, n
-    while size > _DIRECT_ROWS:
-        rank = (k - below + 0.5) / size
+            a, b = out_k[(c, lo_k)], out_k[(c, hi_k)]
+            res[(c, p)] = a + (h - lo_k) * (b - a)
+    return res
+
+
+def order_statistics(x: DataFrame, keys, counts: dict, accuracy: int = _ACCURACY, max_rounds: int = 8) -> dict:
+    """{(col, k): k-th smallest non-null value (0-based)} by batched bracket refinement."""
+    need = {(c, k): {"lo": None, "hi": None, "below": 0, "size": counts[c], "value": None} for c, k in keys}
+    for _ in range(max_rounds):
+        active = [t for t, st in need.items() if st["size"] > _DIRECT_ROWS and st["value"] is None]
+        if not active:
+            break
         d = 2.0 / accuracy
-        ps = [max(0.0, rank - d), min(1.0, rank + d)]
-        cur = x if lo is None else x.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-        b = cur.agg(F.percentile_approx("v", ps, accuracy).alias("b")).first()["b"]
-        nlo, nhi = b[0], b[1]
-        if nlo == nhi:
-            st = cur.agg(F.count_if(F.col("v") < nlo).alias("below"), F.count_if(F.col("v") == nlo).alias("size")).first()
-            if st["below"] <= k - below < st["below"] + st["size"]:
-                return nlo
-        st = cur.agg(
-            F.count_if(F.col("v") < nlo).alias("below"), F.count_if((F.col("v") >= nlo) & (F.col("v") <= nhi)).alias("size")
-        ).first()
-        if st["size"] >= size or not (st["below"] <= k - below < st["below"] + st["size"]):
-            break  # no progress (many ties) or bracket missed: rank what we have
-        below += st["below"]
-        lo, hi, size = nlo, nhi, st["size"]
-    cur = x if lo is None else x.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-    j = k - below
-    # bounded top-(j+1): TakeOrderedAndProject keeps j+1 rows per task
-    row = cur.orderBy("v").limit(j + 1).agg(F.max("v").alias("m")).first()
-    return row["m"]
+        exprs = []
+        for i, (c, k) in enumerate(active):
+            st = need[(c, k)]
+            rank = (k - st["below"] + 0.5) / st["size"]
+            exprs.append(F.percentile_approx(_inside(c, st), [max(0.0, rank - d), min(1.0, rank + d)], accuracy)
+                         .alias(f"b{i}"))
+        br = x.agg(*exprs).first()
+        exprs = []
+        for i, (c, k) in enumerate(active):
+            v, (nlo, nhi) = _inside(c, need[(c, k)]), br[f"b{i}"]
+            exprs += [F.count_if(v < nlo).alias(f"u{i}"), F.count_if((v >= nlo) & (v <= nhi)).alias(f"s{i}")]
+        cnt = x.agg(*exprs).first()
+        for i, (c, k) in enumerate(active):
+            st = need[(c, k)]
+            nlo, nhi = br[f"b{i}"]
+            below, size = cnt[f"u{i}"], cnt[f"s{i}"]
+            if not (below <= k - st["below"] < below + size):
+                st["size"] = 0  # bracket missed (cannot happen with the approx guarantee): rank what we have
+                st["stuck"] = True
+                continue
+            if nlo == nhi:
+                st["value"] = nlo
+                continue
+            if size >= st["size"]:
+                st["stuck"] = True
+                st["size"] = 0
+                continue
+            st.update(lo=nlo, hi=nhi, below=st["below"] + below, size=size)
+    out_k = {}
+    for (c, k), st in need.items():
+        if st["value"] is not None:
+            out_k[(c, k)] = st["value"]
+            continue
+        cur = x.select(_inside(c, st).alias("v")).filter(F.col("v").isNotNull())
+        j = k - st["below"]
+        # bounded top-(j+1): TakeOrderedAndProject keeps at most j+1 rows per task
+        out_k[(c, k)] = cur.orderBy("v").limit(j + 1).agg(F.max("v").alias("m")).first()["m"]
+    return out_k
+
+
+def _inside(c: str, st: dict) -> Column:
+    """The column restricted to the current bracket (NULL outside)."""
+    if st["lo"] is None or st.get("stuck"):
+        return F.col(c) if st["lo"] is None else F.when((F.col(c) >= st["lo"]) & (F.col(c) <= st["hi"]), F.col(c))
+    return F.when((F.col(c) >= st["lo"]) & (F.col(c) <= st["hi"]), F.col(c))
+
+
+def _kth(df: DataFrame, c: str, k: int, n: int, accuracy: int = _ACCURACY):
+    """k-th smallest (0-based) non-null value of column c (exact, bounded memory)."""
+    return order_statistics(df.select(c), {(c, k)}, {c: n}, accuracy)[(c, k)]
 
 
 def moments(df: DataFrame, channels, prefix: str = "") -> DataFrame:

@@ -96,7 +96,22 @@ def fill_missing(
     filled = finish(filled, s)
     if not median:
         return filled
-    med = fixed if fixed is not None else filled.agg(*[F.median(c).alias(f"median_{c}") for c in ch])
+    if fixed is not None:
+        med = fixed
+    else:
+        # the median step only changes sensors whose channel is NULL throughout:
+        # one cheap partial aggregate decides whether the median pass is needed at all
+        key = list(series.key)
+        per = df.groupBy(*key).agg(*[F.count(F.col(c)).alias(c) for c in ch])
+        empty = per.agg(*[F.count_if(F.col(c) == 0).alias(c) for c in ch]).first()
+        need = [c for c in ch if empty[c]]
+        if not need:
+            return filled
+        q = exact_quantiles(filled, {c: [0.5] for c in need})
+        spark = df.sparkSession
+        med = spark.createDataFrame([tuple(q[(c, 0.5)] for c in need)],
+                                    ", ".join(f"median_{c} double" for c in need))
+        ch = need
     return filled.crossJoin(F.broadcast(med)).select(
         *[F.coalesce(F.col(c), F.col(f"median_{c}")).alias(c) if c in ch else F.col(c) for c in df.columns]
     )
@@ -106,21 +121,26 @@ def fill_missing(
 def iqr_bounds(df: DataFrame, channels=CHANNELS, k: float = IQR_K, method: str = "exact", by=None) -> DataFrame:
     """Q1, Q3 and bounds Q1 - k*IQR, Q3 + k*IQR per channel (one row, or per ``by``).
 
-    method: ``exact`` (``percentile``, linear, equals pandas), ``approx``
-    (``percentile_approx``), ``refine`` (exact by bracket refinement, bounded
-    memory; returns a literal one-row table).
+    method ``exact`` (default): linear-interpolation quartiles (equal to pandas)
+    found by batched bracket refinement, each pass a partial aggregation, memory
+    bounded regardless of cardinality; returns a literal one-row table.
+    ``percentile``: Spark's exact aggregate (merges every distinct value in one
+    final task: only for low-cardinality columns). ``approx``:
+    ``percentile_approx``. With ``by`` (per-group bounds) ``exact`` uses
+    ``percentile_approx`` too, since an exact per-group merge would put a hot
+    group's distinct values into one task.
     """
     ch = channels_in(df, channels)
-    if method == "refine" and by is None:
+    if method == "exact" and by is None:
         q = exact_quantiles(df, {c: [0.25, 0.75] for c in ch})
         row = {}
         for c in ch:
-            q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
-            row.update(_bounds_row(c, q1, q3, k))
-        return df.sparkSession.createDataFrame([row])
+            row.update(_bounds_row(c, q[(c, 0.25)], q[(c, 0.75)], k))
+        schema = ", ".join(f"{n} double" for n in row)
+        return df.sparkSession.createDataFrame([tuple(row.values())], schema)
     aggs = []
     for c in ch:
-        q1, q3 = quantile_exprs(c, [0.25, 0.75], exact=(method != "approx"))
+        q1, q3 = quantile_exprs(c, [0.25, 0.75], exact=(method == "percentile" or (method == "exact" and not by)))
         aggs += [q1.alias(f"q1_{c}"), q3.alias(f"q3_{c}")]
     st = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     out = []
@@ -139,12 +159,16 @@ def _bounds_row(c, q1, q3, k):
     if q1 is None:
         return {f"q1_{c}": None, f"q3_{c}": None, f"lower_{c}": None, f"upper_{c}": None}
     iqr = q3 - q1
-    return {f"q1_{c}": float(q1), f"q3_{c}": float(q3), f"lower_{c}": q1 - k * iqr, f"upper_{c}": q3 + k * iqr}
+    return {f"q1_{c}": float(q1), f"q3_{c}": float(q3), f"lower_{c}": float(q1 - k * iqr),
+            f"upper_{c}": float(q3 + k * iqr)}
 
 
-def _with_stats(df: DataFrame, stats: DataFrame, by=None) -> DataFrame:
+def _with_stats(df: DataFrame, stats: DataFrame, by=None, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """One-row statistics: broadcast cross join. Per-group statistics: broadcast
+    only after checking the group count, else a shuffle join."""
     if by:
-        return df.join(F.broadcast(stats), list(by), "left")
+        n = stats.count()
+        return df.join(F.broadcast(stats) if n <= broadcast_rows else stats, list(by), "left")
     return df.crossJoin(F.broadcast(stats))
 
 
@@ -199,12 +223,32 @@ def clean(
     series: Series = Series(),
     chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
     quantiles: str = "exact",
+    materialize: bool = True,
 ) -> DataFrame:
-    """Coerce, fill (C4), clip to IQR bounds computed on the filled data."""
+    """Coerce, fill (C4), clip to IQR bounds computed on the filled data.
+
+    The filled table is written once to the shared checkpoint folder (columnar
+    parquet), so the quartile passes scan three columns of it instead of
+    recomputing the per-sensor windows, and a lost executor re-reads files
+    rather than replaying the shuffle.
+    """
     x = fill_missing(coerce(df, channels), channels, series, chunk_rows)
+    if materialize:
+        x = written(x)
     return clip_outliers(x, iqr_bounds(x, channels, method=quantiles), channels)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back (lineage cut, columnar)."""
+    import uuid
+
+    from vigil.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def clean_normalize(df: DataFrame, channels=CHANNELS, **kw) -> DataFrame:
     """C11: clean, then standard-scale with statistics of the cleaned data."""
     return normalize(clean(df, channels, **kw), channels)
