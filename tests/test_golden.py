@@ -63,7 +63,7 @@ def test_iqr_clip(spark):
     c = cl.clip_outliers(df, cl.iqr_bounds(df, ["temperature"]), ["temperature"])
     assert max(r[0] for r in c.select("temperature").collect()) == 14.75
     assert cl.count_outliers(df, cl.iqr_bounds(df, ["temperature"]), ["temperature"]).first()[0] == 1
-    r = cl.iqr_bounds(df, ["temperature"], method="refine").first()
+    r = cl.iqr_bounds(df, ["temperature"], method="percentile").first()
     assert (r["q1_temperature"], r["q3_temperature"]) == (11.0, 12.5)
 
 
