@@ -98,14 +98,20 @@ def order_statistics(x: DataFrame, keys, counts: dict, accuracy: int = _ACCURACY
                 continue
             st.update(lo=nlo, hi=nhi, below=st["below"] + below, size=size)
     out_k = {}
+    groups: dict = {}
     for (c, k), st in need.items():
         if st["value"] is not None:
             out_k[(c, k)] = st["value"]
-            continue
+        else:
+            groups.setdefault((c, st["lo"], st["hi"], st["below"]), []).append(k)
+    for (c, lo, hi, below), ks in groups.items():
+        st = {"lo": lo, "hi": hi}
         cur = x.select(_inside(c, st).alias("v")).filter(F.col("v").isNotNull())
-        j = k - st["below"]
-        # bounded top-(j+1): TakeOrderedAndProject keeps at most j+1 rows per task
-        out_k[(c, k)] = cur.orderBy("v").limit(j + 1).agg(F.max("v").alias("m")).first()["m"]
+        jmax = max(ks) - below
+        # bounded top-(jmax+1) (at most _DIRECT_ROWS values after refinement): one job per column/bracket
+        vals = [r["v"] for r in cur.orderBy("v").limit(jmax + 1).collect()]
+        for k in ks:
+            out_k[(c, k)] = vals[k - below]
     return out_k
 
 
