@@ -28,25 +28,34 @@ def auc(df: DataFrame, score: str, label: str = "y") -> float:
     return float(ev.evaluate(df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label))))
 
 
-def auc_frame(df: DataFrame, score: str, label: str = "y") -> DataFrame:
-    """G7 as SQL aggregates: rank-sum formula with average ranks for ties.
+def auc_frame(df: DataFrame, score: str, label: str = "y", buckets: int = 1024) -> DataFrame:
+    """G7 as aggregates: AUC = sum over scores of pos(s) * (neg_below(s) + neg(s) / 2) / (P * N).
 
-    Ranks come from per-score counts (one row per distinct score) and a running
-    sum over that table. The running sum is one ordered pass over the distinct
-    scores, so for tables with billions of distinct scores use ``auc`` (its
-    evaluator range-partitions the sort); this form is the SQL-checkable one.
+    Exact (ties count one half) and distributed: rows are first aggregated per
+    distinct score (a hot score is one row), distinct scores are cut into
+    ``buckets`` ranges at approximate quantiles (``Bucketizer``, binary search
+    on the JVM), negatives below each bucket come from the bounded table of
+    bucket totals (broadcast, ``buckets`` rows), and only the running sum inside
+    one bucket is a window, partitioned by bucket.
     """
+    from pyspark.ml.feature import Bucketizer
     from pyspark.sql import Window
 
-    per = df.groupBy(F.col(score).alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos")
-    )
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    ranked = ranked.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2.0)
-    tot = ranked.agg(F.sum("pos").alias("P"), (F.sum("n") - F.sum("pos")).alias("N"),
-                     F.sum(F.col("pos") * F.col("avg_rank")).alias("R"))
-    return tot.select(((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N"))).alias("auc"))
+    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.sum(F.col(label).cast("double")).alias("pos"),
+        F.sum(F.lit(1.0) - F.col(label).cast("double")).alias("neg"),
+    ).filter(F.col("s").isNotNull())
+    cuts = per.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"]
+    splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(per)
+    tot = b.groupBy("b").agg(F.sum("neg").alias("bneg"))
+    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # over <= buckets rows
+    tot = tot.select("b", F.coalesce(F.sum("bneg").over(wb), F.lit(0.0)).alias("neg_before"))
+    w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    x = b.join(F.broadcast(tot), "b").select(
+        "pos", "neg", (F.col("neg_before") + F.coalesce(F.sum("neg").over(w), F.lit(0.0))).alias("neg_below"))
+    return x.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)),
+                              F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def metrics_table(spark, metrics: dict) -> DataFrame:
