@@ -51,14 +51,25 @@ def alert_level(df: DataFrame, cfg: AlertConfig = AlertConfig()) -> Column:
     """A1: EMERGENCY / CRITICAL / WARNING / INFO, NULL-safe (Q20)."""
     risk, prob = _num("risk_score", df), _num("failure_probability", df)
     fail, anom = _flag("is_failure", df), _flag("is_anomaly", df)
+    thr = F.lit(cfg.failure_threshold)
+    if "failure_threshold" in df.columns:  # per-sensor override (P4), default where absent
+        thr = F.coalesce(F.col("failure_threshold"), thr)
     return (
         F.when((risk >= cfg.emergency) | (prob >= cfg.emergency) | fail, "EMERGENCY")
         .when((risk >= cfg.critical) | (prob >= cfg.critical), "CRITICAL")
-        .when((risk >= cfg.failure_threshold) | (prob >= cfg.failure_threshold) | anom, "WARNING")
+        .when((risk >= thr) | (prob >= thr) | anom, "WARNING")
         .otherwise("INFO")
     )
 
 
+def with_thresholds(df: DataFrame, thresholds: DataFrame, key: str = "sensor_id",
+                    broadcast_rows: int = 5_000_000) -> DataFrame:
+    """Attach per-sensor ``failure_threshold`` (left join; broadcast after a size check)."""
+    t = thresholds.select(key, "failure_threshold")
+    n = t.count()
+    return df.join(F.broadcast(t) if n <= broadcast_rows else t, key, "left")
+
+
 def level_rank(level: Column) -> Column:
     return _lookup(level, LEVEL_ORDER).cast("int")
 

@@ -73,13 +73,17 @@ def fill_missing(
     chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
     median: bool = True,
     fixed: DataFrame | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """C4: forward fill, then leading backward fill per sensor, then global median.
 
     The median is taken over the forward/backward-filled column (as the
     reference computes it after the first two steps); it only fills sensors
     whose channel is NULL throughout. ``fixed`` supplies medians stored at fit
-    time (columns ``median_<c>``) for streaming use.
+    time (columns ``median_<c>``) for streaming use. ``materialize`` writes the
+    filled rows once to the shared checkpoint folder, so later statistics
+    passes (median here, quartiles in ``clean``) scan columns of that table
+    instead of recomputing the windows.
     """
     ch = channels_in(df, channels)
     if not ch:
@@ -94,6 +98,8 @@ def fill_missing(
         *plan_cols,
     )
     filled = finish(filled, s)
+    if materialize:
+        filled = written(filled)
     if not median:
         return filled
     if fixed is not None:
@@ -232,9 +238,7 @@ def clean(
     recomputing the per-sensor windows, and a lost executor re-reads files
     rather than replaying the shuffle.
     """
-    x = fill_missing(coerce(df, channels), channels, series, chunk_rows)
-    if materialize:
-        x = written(x)
+    x = fill_missing(coerce(df, channels), channels, series, chunk_rows, materialize=materialize)
     return clip_outliers(x, iqr_bounds(x, channels, method=quantiles), channels)
 
 

@@ -296,3 +296,31 @@ def t4_sensor_trends(spark, sf_dir):
 def p12_filter_sensor(spark, sf_dir):
     """All readings of one sensor."""
     return rp.for_sensor(v.readings(spark, sf_dir), "sensor_007")
+
+
+THR_SQL = """SELECT printf('sensor_%03d', c_custkey) AS sensor_id, 0.6 + (c_custkey % 4) * 0.05 AS failure_threshold
+FROM customer WHERE c_custkey % 10 <> 3"""
+
+
+def sensor_thresholds(spark, sf_dir):
+    """Per-sensor failure thresholds derived from the customer table (known sensors)."""
+    c = v.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 10 != 3)
+    return c.select(v.sensor_name("c_custkey").alias("sensor_id"),
+                    (F.lit(0.6) + (F.col("c_custkey") % 4) * F.lit(0.05)).alias("failure_threshold"))
+
+
+@register("p4_sensor_thresholds", BASE + SCORED + f""",
+thr AS ({THR_SQL}),
+lv AS (SELECT s.*, CASE WHEN coalesce(risk_score, 0) >= 0.9 OR coalesce(failure_probability, 0) >= 0.9
+               OR coalesce(is_failure, false) THEN 'EMERGENCY'
+          WHEN coalesce(risk_score, 0) >= 0.8 OR coalesce(failure_probability, 0) >= 0.8 THEN 'CRITICAL'
+          WHEN coalesce(risk_score, 0) >= coalesce(t.failure_threshold, 0.7)
+               OR coalesce(failure_probability, 0) >= coalesce(t.failure_threshold, 0.7)
+               OR coalesce(is_anomaly, false) THEN 'WARNING'
+          ELSE 'INFO' END AS alert_level
+  FROM scored s LEFT JOIN thr t ON s.sensor_id = t.sensor_id)
+SELECT reading_id, sensor_id, alert_level FROM lv""")
+def p4_sensor_thresholds(spark, sf_dir):
+    """Alert levels with per-sensor failure thresholds (default 0.7 where none)."""
+    s = al.with_thresholds(scored(spark, sf_dir), sensor_thresholds(spark, sf_dir))
+    return al.build_alerts(s).select("reading_id", "sensor_id", "alert_level")
