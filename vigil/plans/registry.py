@@ -42,10 +42,27 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
+        sql = bigint_counts(self.sql)
         if not self.rounded:
-            return self.sql
+            return sql
         rep = ", ".join(f'{ROUND_SQL.format(c=chr(34) + c + chr(34))} AS "{c}"' for c in self.rounded)
-        return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) q"
+        return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
+
+
+def bigint_counts(sql: str) -> str:
+    """DuckDB types count_if as HUGEINT; Spark's count_if is BIGINT: cast each call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
 
 
 REGISTRY: dict[str, Query] = {}
