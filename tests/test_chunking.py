@@ -42,3 +42,22 @@ def test_fill_chunked_equals_plain(spark):
         "sensor_id", F.when(F.col("reading_id") % 2 == 0, F.lit("hot")).otherwise(F.col("sensor_id"))
     )
     _same(cl.fill_missing(r, chunk_rows=None), cl.fill_missing(r, chunk_rows=97))
+
+
+def test_latest_features_equal_full_history(spark):
+    r = v.readings_gaps(spark, SF001)
+    want = feat.latest_per_key(feat.all_features(r, chunk_rows=None))
+    got = feat.latest_features(r)
+    _same(want, got)
+
+
+def test_latest_features_carry_over_long_gap(spark):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", "s1", float(i + 1) if i < 5 else None, 1.0, 2.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "reading_id long, ts string, sensor_id string, temperature double, "
+                                     "vibration double, pressure double") \
+        .select("reading_id", F.col("ts").cast("timestamp_ntz").alias("timestamp"), "sensor_id",
+                "temperature", "vibration", "pressure")
+    want = feat.latest_per_key(feat.all_features(df, chunk_rows=None))
+    got = feat.latest_features(df)
+    assert got.first()["temperature_rate_of_change_pct"] == 0.0
+    _same(want, got)

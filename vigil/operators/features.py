@@ -8,7 +8,7 @@ joined by broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.config import CHANNELS, FeatureConfig
@@ -159,6 +159,41 @@ def latest_per_key(df: DataFrame, key=("sensor_id",), order=("timestamp", "readi
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), ordk).alias("_r")).select(*key, "_r.*")
 
 
+def latest_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), series: Series = Series(),
+                    min_max: DataFrame | None = None, broadcast_rows: int = 5_000_000) -> DataFrame:
+    """W16 evaluated at each sensor's latest row only (W17 of W16), exactly.
+
+    A row's features need its ``history`` predecessors, so only each sensor's
+    last history+1 rows are windowed: ``row_number() <= k`` is planned as a
+    partial WindowGroupLimit (k rows per key per map task cross the shuffle, a
+    hot sensor included). Global min/max still come from the whole table, and
+    the one unbounded look-back (pct change over NULL gaps) gets a per-sensor
+    carry: the last non-NULL value older than the tail (partial ``max_by``).
+    """
+    ch = channels_in(df, cfg.channels)
+    key, order = list(series.key), list(series.order)
+    k = cfg.history + 1
+    w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
+    tail = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+    ordk = F.struct(*[F.col(o) for o in order])
+    start = tail.groupBy(*key).agg(F.min(ordk).alias("_start"))
+    n = start.count()
+    older = df.join(F.broadcast(start) if n <= broadcast_rows else start, key).filter(ordk < F.col("_start"))
+    carry = older.groupBy(*key).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordk)).alias(fs.CARRY + c) for c in ch],
+    )
+    t = tail.join(F.broadcast(carry) if n <= broadcast_rows else carry, key, "left")
+    t = t.select(*t.columns, *[F.lit(None).cast("double").alias(fs.FIRST + c) for c in ch])
+    s = Series(series.key, series.order, None, True)
+    with_health = set(CHANNELS) <= set(ch)
+    base = df.columns
+    if with_health:
+        stats = min_max if min_max is not None else global_min_max(df, CHANNELS)
+        t = t.crossJoin(F.broadcast(stats))
+    out = t.select(*base, *feature_columns(base, cfg, s, with_health))
+    return latest_per_key(out, tuple(key), tuple(order))
+
+
 # ------------------------------------------------------------------ P5-P9
 def one_hot(df: DataFrame, values, column: str = "sensor_id", prefix: str = "sensor") -> DataFrame:
     """P5: boolean dummy per known value (``sensor_<value>``); values are given, not collected."""
