@@ -94,15 +94,29 @@ def c5_iqr_bounds_lineitem(spark, sf_dir):
 
 CLIP_SQL = {c: f"CASE WHEN {c} IS NOT NULL THEN greatest(b.lower_{c}, least(b.upper_{c}, {c})) END AS {c}" for c in CH}
 
-
-@register("c6_clip_outliers", None, rounded=CH)
+R_IQR = f"WITH readings AS ({v.READINGS_SQL}), b AS ({_iqr_sql('readings')})\n"
+SCALE = {c: f"CASE WHEN {c} IS NOT NULL THEN coalesce(({c} - s.mean_{c}) / NULLIF(s.std_{c}, 0), 0) END AS {c}"
+         for c in CH}
+MOMENTS = ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in CH)
+CLEANED = (f"WITH readings_gaps AS ({v.READINGS_GAPS_SQL}), {FILLED_CTE}, b AS ({_iqr_sql('filled')}), "
+           f"cleaned AS ({_sel(CLIP_SQL, 'filled CROSS JOIN b')})")
+C6_SQL = R_IQR + _sel(CLIP_SQL, "readings CROSS JOIN b")
+C7_SQL = R_IQR + "SELECT " + ", ".join(
+    f"count_if({c} < b.lower_{c} OR {c} > b.upper_{c}) AS outliers_{c}" for c in CH) + " FROM readings CROSS JOIN b"
+C9_SQL = (f"WITH readings AS ({v.READINGS_SQL}), s AS (SELECT {MOMENTS} FROM readings)\n"
+          + _sel(SCALE, "readings CROSS JOIN s"))
+C10_SQL = CLEANED + "\nSELECT * FROM cleaned"
+C11_SQL = CLEANED + f", s AS (SELECT {MOMENTS} FROM cleaned)\n" + _sel(SCALE, "cleaned CROSS JOIN s")
+
+
+@register("c6_clip_outliers", C6_SQL, rounded=CH)
 def c6_clip_outliers(spark, sf_dir):
     """Channels clipped into their IQR bounds."""
     r = v.readings(spark, sf_dir)
     return cl.clip_outliers(r, cl.iqr_bounds(r))
 
 
-@register("c7_count_outliers", None)
+@register("c7_count_outliers", C7_SQL)
 def c7_count_outliers(spark, sf_dir):
     """Outliers per channel against IQR bounds."""
     r = v.readings(spark, sf_dir)
@@ -123,19 +137,19 @@ def c8_fit_scaler(spark, sf_dir):
     return cl.fit_scaler(v.readings(spark, sf_dir))
 
 
-@register("c9_apply_scaler", None, rounded=CH)
+@register("c9_apply_scaler", C9_SQL, rounded=CH)
 def c9_apply_scaler(spark, sf_dir):
     """Standard scaling with fitted statistics (constant column -> 0)."""
     return cl.normalize(v.readings(spark, sf_dir))
 
 
-@register("c10_clean", None, rounded=CH)
+@register("c10_clean", C10_SQL, rounded=CH)
 def c10_clean(spark, sf_dir):
     """Coerce, fill chain, clip: the whole cleaning composite on gapped readings."""
     return cl.clean(v.readings_gaps(spark, sf_dir))
 
 
-@register("c11_clean_normalize", None, rounded=CH)
+@register("c11_clean_normalize", C11_SQL, rounded=CH)
 def c11_clean_normalize(spark, sf_dir):
     """Clean, then standard-scale."""
     return cl.clean_normalize(v.readings_gaps(spark, sf_dir))
@@ -154,25 +168,3 @@ def c11_clean_normalize(spark, sf_dir):
 def c12_null_report(spark, sf_dir):
     """NULL count per column and in total."""
     return cl.null_report(v.readings_gaps(spark, sf_dir))
-
-
-def _finish_sql():
-    from vigil.plans.registry import REGISTRY
-
-    R = f"WITH readings AS ({v.READINGS_SQL}), b AS ({_iqr_sql('readings')})\n"
-    REGISTRY["c6_clip_outliers"].sql = R + _sel(CLIP_SQL, "readings CROSS JOIN b")
-    REGISTRY["c7_count_outliers"].sql = R + "SELECT " + ", ".join(
-        f"count_if({c} < b.lower_{c} OR {c} > b.upper_{c}) AS outliers_{c}" for c in CH
-    ) + " FROM readings CROSS JOIN b"
-    S = f"WITH readings AS ({v.READINGS_SQL}), s AS (SELECT " + ", ".join(
-        f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in CH) + " FROM readings)\n"
-    scale = {c: f"CASE WHEN {c} IS NOT NULL THEN coalesce(({c} - s.mean_{c}) / NULLIF(s.std_{c}, 0), 0) END AS {c}" for c in CH}
-    REGISTRY["c9_apply_scaler"].sql = S + _sel(scale, "readings CROSS JOIN s")
-    G = f"WITH readings_gaps AS ({v.READINGS_GAPS_SQL}), {FILLED_CTE}, b AS ({_iqr_sql('filled')}), " \
-        f"cleaned AS ({_sel(CLIP_SQL, 'filled CROSS JOIN b')})\n"
-    REGISTRY["c10_clean"].sql = G + "SELECT * FROM cleaned"
-    s2 = "s AS (SELECT " + ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in CH) + " FROM cleaned)"
-    REGISTRY["c11_clean_normalize"].sql = G.rstrip("\n") + f", {s2}\n" + _sel(scale, "cleaned CROSS JOIN s")
-
-
-_finish_sql()
