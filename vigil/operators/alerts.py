@@ -157,7 +157,8 @@ def chat_payload(alerts: DataFrame) -> DataFrame:
         F.col("message").alias("text"),
         fields.alias("fields"),
         F.lit(FOOTER).alias("footer"),
-        F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("ts"),
+        # epoch seconds of the local event time, independent of the session time zone
+        F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp")).alias("ts"),
     )
     keep = [c for c in ("reading_id",) if c in alerts.columns]
     return alerts.select(*keep, "sensor_id", "alert_level", F.to_json(F.struct(F.array(att).alias("attachments")))

@@ -141,13 +141,38 @@ def a6_console_text(spark, sf_dir):
     return al.console_text(alerts(spark, sf_dir))
 
 
-@register("a4_chat_payload", None)
+_F4 = "printf('%.4f', " + "{x}" + ")"
+A4_SQL = BASE + SCORED + ALERTS + f"""
+SELECT reading_id, sensor_id, alert_level,
+  CAST(json_object('attachments', json_array(json_object(
+    'color', {_case('alert_level', al.COLORS, al.DEFAULT_COLOR)},
+    'title', 'Equipment Alert: ' || sensor_id,
+    'text', message,
+    'fields', json_array(
+      json_object('title', 'Risk Score', 'value', printf('%.4f', {R('risk_score', 4)}), 'short', true),
+      json_object('title', 'Failure Probability', 'value', printf('%.4f', {R('failure_probability', 4)}), 'short', true),
+      json_object('title', 'Timestamp', 'value', {ISO.format(c='"timestamp"')}, 'short', false)),
+    'footer', '{al.FOOTER}',
+    'ts', (epoch_us("timestamp") // 1000000)))) AS VARCHAR) AS payload
+FROM alerts"""
+A5_SQL = BASE + SCORED + ALERTS + f"""
+SELECT reading_id, sensor_id, alert_level,
+  CAST(json_object('text', printf(chr(10) || '%s *Equipment Alert*' || chr(10) || chr(10) || '*Equipment:* %s' || chr(10)
+    || '*Level:* %s' || chr(10) || '*Message:* %s' || chr(10) || chr(10) || '*Risk Score:* %.4f' || chr(10)
+    || '*Failure Probability:* %.4f' || chr(10) || '*Anomaly Score:* %.4f' || chr(10) || chr(10) || '*Time:* %s'
+    || chr(10), {_case('alert_level', al.ICONS, al.DEFAULT_ICON)}, sensor_id, alert_level, message,
+    {R('risk_score', 4)}, {R('failure_probability', 4)}, {R('anomaly_score', 4)}, {ISO.format(c='"timestamp"')}),
+    'parse_mode', 'Markdown') AS VARCHAR) AS payload
+FROM alerts"""
+
+
+@register("a4_chat_payload", A4_SQL)
 def a4_chat_payload(spark, sf_dir):
     """Attachment-style chat payload JSON per alert (outbox rows)."""
     return al.chat_payload(alerts(spark, sf_dir))
 
 
-@register("a5_markdown_payload", None)
+@register("a5_markdown_payload", A5_SQL)
 def a5_markdown_payload(spark, sf_dir):
     """Markdown text payload JSON per alert (outbox rows)."""
     return al.markdown_payload(alerts(spark, sf_dir))
