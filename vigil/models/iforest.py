@@ -6,7 +6,8 @@ trees by a stable hash and pre-thinned, then ``row_number() <= psi`` per tree
 per map partition); ``groupBy(tree_id).applyInPandas`` grows one tree per group
 from <= 256 rows. The tree table has at most n_trees * (2 psi - 1) rows: a
 proven bound, so it is broadcast for scoring. Scoring is ``mapInPandas`` with
-numpy traversal of all trees per Arrow batch; no shuffle.
+numpy traversal of all trees per Arrow batch, after a round-robin spread over
+the cores (AQE may have coalesced a small upstream into one partition).
 
 decision = -2^(-E[h(x)] / c(psi)) - offset, with offset the ``contamination``
 quantile of the training scores; anomalous when decision < threshold (0).
@@ -174,7 +175,7 @@ def _score_frame(df: DataFrame, model: IsolationForestModel, offset: float, out_
                 pdf["is_anomaly"] = s < threshold
             yield pdf
 
-    n = max(2 * sc.defaultParallelism, df.rdd.getNumPartitions())
+    n = max(sc.defaultParallelism, df.rdd.getNumPartitions())
     return df.repartition(n).mapInPandas(run, schema)
 
 
