@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vigil.plans import load_all  # noqa: E402
-from vigil.session import local_session  # noqa: E402
+from vigil.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "w16_all_features",
@@ -37,6 +37,7 @@ def main():
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="vigil-bench")
     reg = load_all()
+    ship_package(spark)
     # warm-up: the same code paths on the smallest scale (JIT, codegen caches)
     for n in ("w16_all_features", "w1_w5_rolling_lineitem"):
         reg[n].spark(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()

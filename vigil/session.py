@@ -52,3 +52,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vigil`` importable in Python workers (``addPyFile`` of a zip).
+
+    The driver may import the package from a path the workers do not have;
+    Spark then distributes the zip to every executor, as ``--py-files`` does.
+    The zip is written once per application into the checkpoint folder when
+    that is a local path, else into a driver scratch folder (addPyFile uploads it).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    ckpt = ensure_checkpoint_dir(spark)
+    base = ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt
+    folder = base if "://" not in base and os.path.isdir(base) else tempfile.mkdtemp(prefix="vigil-pkg-")
+    path = os.path.join(folder, f"vigil-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("vigil", os.path.relpath(full, pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
