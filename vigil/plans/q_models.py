@@ -86,3 +86,22 @@ def m12_score_all(spark, sf_dir):
 def m13_latest_predictions(spark, sf_dir):
     """Latest prediction per sensor from features over its history."""
     return pl.latest_predictions(v.readings(spark, sf_dir), trained(spark, sf_dir)[0])
+
+
+_M9_FEATS = ["temperature", "vibration", "pressure"]
+_M9_SQL = f"""WITH readings AS ({v.READINGS_SQL}),
+y AS (SELECT *, CASE WHEN label = 'failure' THEN 1.0 WHEN label = 'normal' THEN 0.0 END AS y FROM readings)
+SELECT 'bias' AS name, 0.0 - 0.01 * avg(0.5 - y) AS weight FROM y WHERE y IS NOT NULL
+""" + "".join(
+    f"UNION ALL SELECT '{f}' AS name, 0.0 - 0.01 * avg((0.5 - y) * coalesce({f}, 0.0)) AS weight "
+    f"FROM y WHERE y IS NOT NULL\n" for f in _M9_FEATS)
+
+
+@register("m9_online_step", _M9_SQL, rounded=("weight",))
+def m9_online_step(spark, sf_dir):
+    """One online logistic gradient step (learning rate 0.01) from zero weights over all readings."""
+    from vigil.streaming.monitor import sgd_step
+
+    r = v.readings(spark, sf_dir).withColumn("y", feat.encode_label("label"))
+    w = sgd_step(r, {"bias": 0.0, **{f: 0.0 for f in _M9_FEATS}}, _M9_FEATS, lr=0.01)
+    return spark.createDataFrame(list(w.items()), "name string, weight double")  # one row per feature
