@@ -61,3 +61,22 @@ def test_latest_features_carry_over_long_gap(spark):
     got = feat.latest_features(df)
     assert got.first()["temperature_rate_of_change_pct"] == 0.0
     _same(want, got)
+
+
+def test_burst_inside_one_time_bucket_is_split(spark):
+    from vigil.functions.series import Series
+    from vigil.plans.chunking import CHUNK, HALO, plan_chunks
+
+    # a hot sensor whose rows mostly arrive in a burst of a few milliseconds
+    r = v.readings_gaps(spark, SF001).withColumn(
+        "sensor_id", F.when(F.col("reading_id") % 3 == 0, F.lit("hot")).otherwise(F.col("sensor_id"))
+    ).withColumn(
+        "timestamp",
+        F.when((F.col("sensor_id") == "hot") & (F.col("reading_id") % 2 == 0),
+               F.lit("2024-01-15 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+                   F.lit(0), F.lit(0), F.lit(0), F.col("reading_id") / F.lit(1e6))).otherwise(F.col("timestamp")),
+    )
+    x, s = plan_chunks(r, Series(), 19, 150, carry_channels=["temperature"])
+    sizes = x.filter(~F.col(HALO) & (F.col("sensor_id") == "hot")).groupBy(CHUNK).count().collect()
+    assert len(sizes) > 5 and max(row["count"] for row in sizes) <= 2 * 150
+    _same(feat.all_features(r, chunk_rows=None), feat.all_features(r, chunk_rows=150))

@@ -11,6 +11,9 @@ sensor can be cut into row-balanced chunks processed in parallel:
    N / chunk_rows of them, a proven bound for the broadcast below.
 2. Each hot sensor's time range is cut into ``subs`` equal sub-buckets per
    expected chunk; rows are counted per (sensor, sub-bucket) (partial agg).
+   A sub-bucket that still holds more than ``chunk_rows`` rows (a burst) is
+   cut again at 64 equi-depth points from a ``percentile_approx`` sketch, up
+   to three more levels; only rows sharing one timestamp cannot be split.
 3. On that small table a running count assigns sub-buckets to chunks of about
    ``chunk_rows`` rows, and each chunk receives as *halo* the whole sub-buckets
    that hold the ``history`` rows right before it (exact, never a cap).
@@ -36,6 +39,9 @@ from vigil.functions.series import CARRY, FIRST, Series
 CHUNK = "_chunk"
 HALO = "_halo"
 SUB = "_sub"
+SUB2 = "_sub2"  # finer equi-depth levels inside heavy sub-buckets (a struct)
+LEVELS = 4
+CUTS = 64
 DEFAULT_CHUNK_ROWS = 4_000_000
 BROADCAST_ROWS = 2_000_000
 _EPOCH = "1970-01-01 00:00:00"
@@ -97,30 +103,60 @@ def plan_chunks(
         )
 
     tagged = df.join(hot_b, key, "left")
-    tagged = tagged.withColumn(SUB, sub_of(tagged)).drop("_t0", "_w", "_nb")
-
-    # -- small table: rows per (hot sensor, sub-bucket) -> chunk and halo targets
-    counts = tagged.filter(F.col(SUB).isNotNull()).groupBy(*key, SUB).agg(F.count(F.lit(1)).alias("_ns"))
-    wk = Window.partitionBy(*key).orderBy(SUB)
+    tagged = tagged.withColumn(SUB, sub_of(tagged)).drop("_nb")
+
+    tagged = tagged.drop("_t0", "_w")
+    # -- small table: rows per (hot sensor, bucket). A burst can put more than
+    # chunk_rows rows into one time sub-bucket: such heavy buckets are cut again
+    # at equi-depth points (percentile_approx sketch, partial aggregation) for up
+    # to LEVELS rounds; only rows sharing one timestamp cannot be split further.
+    tnum = order_number(tagged, series.order[0])
+    levels: list[str] = []
+    for lvl in range(1, LEVELS + 1):
+        bkey = key + [SUB] + levels
+        counts = tagged.filter(F.col(SUB).isNotNull()).groupBy(*bkey).agg(F.count(F.lit(1)).alias("_ns"))
+        heavy = counts.filter(F.col("_ns") > F.lit(chunk_rows)).select(*bkey).cache()
+        n_heavy = heavy.count()
+        if n_heavy == 0 or lvl == LEVELS:
+            break
+        hb = _maybe_broadcast(heavy, n_heavy, broadcast_rows)
+        cuts = (
+            tagged.join(hb, bkey, "left_semi")
+            .groupBy(*bkey)
+            .agg(F.percentile_approx(tnum, [j / CUTS for j in range(1, CUTS)], 10_000).alias("_cuts"))
+            .cache()
+        )
+        lc = f"_l{lvl}"
+        tagged = tagged.join(_maybe_broadcast(cuts, n_heavy, broadcast_rows), bkey, "left")
+        tagged = tagged.withColumn(
+            lc,
+            F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= tnum)))
+            .when(F.col(SUB).isNotNull(), F.lit(0)),
+        ).drop("_cuts")
+        levels.append(lc)
+    bkey = key + [SUB] + levels
+    tagged = tagged.withColumn(SUB2, F.struct(*[F.col(c) for c in levels]) if levels else F.lit(0)).drop(*levels)
+    counts = counts.withColumn(SUB2, F.struct(*[F.col(c) for c in levels]) if levels else F.lit(0)).drop(*levels)
+    wk = Window.partitionBy(*key).orderBy(SUB, SUB2)
     counts = counts.withColumn(
         "_cb", F.coalesce(F.sum("_ns").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_raw", F.floor(F.col("_cb") / F.lit(chunk_rows)))
     counts = counts.withColumn(CHUNK, (F.dense_rank().over(Window.partitionBy(*key).orderBy("_raw")) - 1).cast("int"))
     counts = counts.cache()
     starts = counts.groupBy(*key, CHUNK).agg(F.min("_cb").alias("_start"))
-    own = counts.select(*key, SUB, F.col(CHUNK).alias("_target"), F.lit(False).alias("_h"))
+    own = counts.select(*key, SUB, SUB2, F.col(CHUNK).alias("_target"), F.lit(False).alias("_h"))
     halo = (
         counts.select(
-            *key, SUB, (F.col("_cb") + F.col("_ns")).alias("_end"),
+            *key, SUB, SUB2, (F.col("_cb") + F.col("_ns")).alias("_end"),
             F.explode(F.sequence(F.col(CHUNK) + 1, F.col(CHUNK) + F.lit(history))).alias(CHUNK),
         )
         .join(starts, key + [CHUNK])
         .filter(F.col("_start") - F.col("_end") < F.lit(history))
-        .select(*key, SUB, F.col(CHUNK).alias("_target"), F.lit(True).alias("_h"))
+        .select(*key, SUB, SUB2, F.col(CHUNK).alias("_target"), F.lit(True).alias("_h"))
     )
     mapping = (
         own.unionByName(halo)
-        .groupBy(*key, SUB)
+        .groupBy(*key, SUB, SUB2)
         .agg(F.collect_list(F.struct(F.col("_target").alias("c"), F.col("_h").alias("h"))).alias("_targets"))
         .cache()
     )
@@ -128,7 +164,7 @@ def plan_chunks(
     mapping_b = _maybe_broadcast(mapping, n_map, broadcast_rows)
 
     default = F.array(F.struct(F.lit(0).alias("c"), F.lit(False).alias("h")))
-    x = tagged.join(mapping_b, key + [SUB], "left").withColumn(
+    x = tagged.join(mapping_b, key + [SUB, SUB2], "left").withColumn(
         "_tg", F.explode(F.coalesce(F.col("_targets"), default))
     )
     x = x.withColumn(CHUNK, F.col("_tg.c")).withColumn(HALO, F.col("_tg.h")).drop("_tg", "_targets")
@@ -139,7 +175,7 @@ def plan_chunks(
         x = _attach_carry(x, s, key, carry_channels, broadcast_rows)
     else:
         s = Series(series.key, series.order, CHUNK, False)
-    return x.drop(SUB), s
+    return x.drop(SUB, SUB2), s
 
 
 def _attach_carry(x: DataFrame, s: Series, key, channels, broadcast_rows: int) -> DataFrame:
