@@ -110,3 +110,25 @@ def test_ingest_and_alert_stats_streams(spark):
     closed = alerts.filter(F.col("timestamp") < F.date_trunc("hour", F.lit(
         alerts.agg(F.max("timestamp")).first()[0]).cast("timestamp_ntz")) - F.expr("INTERVAL 1 HOUR"))
     assert st.agg(F.sum("n")).first()[0] >= closed.count()
+
+
+def test_monitoring_cycle_scores_and_alerts(spark):
+    from vigil.models import pipeline as pl
+
+    root = tempfile.mkdtemp(prefix="vigil-monitor-")
+    os.makedirs(os.path.join(root, "src"))
+    _envelope_files(spark, root)
+    src = os.path.join(root, "src")
+    hist = rd.type_readings(rd.read_envelopes(spark, src))
+    models, _ = pl.train_all(hist, pl.feature_set("basic6"), n_trees=10, forest_kw={"numTrees": 5, "maxDepth": 4})
+    stats = mon.StreamStats.fit(hist)
+    carry = mon.FeatureCarry(os.path.join(root, "state"), stats)
+    q = mon.monitor_stream(
+        mon.envelope_stream(spark, src, max_files=1), carry, os.path.join(root, "out"), os.path.join(root, "ckpt"),
+        score=lambda f: pl.score_all(f, models, scope="fixed", features_ready=True))
+    q.awaitTermination()
+    scored = spark.read.parquet(os.path.join(root, "out", "scored"))
+    alerts = spark.read.parquet(os.path.join(root, "out", "alerts"))
+    assert scored.count() == hist.count() == alerts.count()
+    r = scored.agg(F.min("risk_score"), F.max("risk_score"), F.countDistinct("batch")).first()
+    assert 0.0 <= r[0] <= r[1] <= 1.0 + 1e-9 and r[2] == 3

@@ -81,7 +81,9 @@ def combine_risk(
     else:
         mm = df.agg(F.min("anomaly_score").alias("_lo"), F.max("anomaly_score").alias("_hi"))
         j = df.crossJoin(F.broadcast(mm))
-    ar = anomaly_risk(F.col("anomaly_score"), F.col("_lo"), F.col("_hi"))
+    # clipped to [0, 1]: a no-op for batch scope, needed when fixed (fit-time) bounds
+    # meet scores outside the training range
+    ar = F.least(F.lit(1.0), F.greatest(F.lit(0.0), anomaly_risk(F.col("anomaly_score"), F.col("_lo"), F.col("_hi"))))
     risk = (
         F.lit(weights.anomaly) * ar
         + F.lit(weights.failure) * F.col("failure_probability")
