@@ -138,3 +138,17 @@ def test_exact_quantile_refinement_matches_percentile(spark, monkeypatch):
         assert abs(q[("vibration", p)] - want[f"v{p}"]) < 1e-9
     for p in (0.25, 0.75):
         assert abs(q[("temperature", p)] - want[f"t{p}"]) < 1e-9
+
+
+def test_one_hot_vector_matches_dummies(spark):
+    from conftest import SF001
+
+    from vigil.sources import views as v
+
+    r = v.readings(spark, SF001)
+    out, model = feat.one_hot_vector(r)
+    sensors = sorted(x[0] for x in r.select("sensor_id").distinct().collect())
+    rows = out.select("sensor_id", "sensor_onehot").limit(50).collect()
+    for row in rows:
+        vec = row["sensor_onehot"].toArray()
+        assert vec.sum() == 1.0 and vec[sensors.index(row["sensor_id"])] == 1.0

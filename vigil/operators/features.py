@@ -200,6 +200,22 @@ def one_hot(df: DataFrame, values, column: str = "sensor_id", prefix: str = "sen
     return df.select(*df.columns, *[(F.col(column) == F.lit(v)).alias(f"{prefix}_{v}") for v in values])
 
 
+def one_hot_vector(df: DataFrame, column: str = "sensor_id", out: str = "sensor_onehot"):
+    """P5 for many sensors: StringIndexer + OneHotEncoder into one sparse vector column.
+
+    Returns (transformed DataFrame, fitted PipelineModel) so scoring reuses the
+    training-time index; unseen values map to an extra all-zero slot ('keep').
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    model = Pipeline(stages=[
+        StringIndexer(inputCol=column, outputCol=f"{out}_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=[f"{out}_idx"], outputCols=[out], dropLast=False, handleInvalid="keep"),
+    ]).fit(df)
+    return model.transform(df).drop(f"{out}_idx"), model
+
+
 def calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Hour of day and day of week with Monday = 0."""
     return df.select(*df.columns, F.hour(ts).alias("hour"), F.weekday(ts).alias("day_of_week"))
