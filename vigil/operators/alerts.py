@@ -199,6 +199,14 @@ def alert_stats(alerts: DataFrame) -> DataFrame:
     return r.select(F.coalesce(F.col("alert_level"), F.lit("TOTAL")).alias("alert_level"), "n")
 
 
+def alert_stats_by_window(alerts: DataFrame, window: str = "1 hour", ts: str = "timestamp") -> DataFrame:
+    """S5 (batch form): alerts per level per tumbling event-time window (partial aggregate)."""
+    w = F.window(F.col(ts), window)
+    g = alerts.groupBy(w.alias("w"), "alert_level").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "alert_level", "n")
+
+
 def recent_alert_count(alerts: DataFrame, as_of: Column | None = None, hours: int = 1) -> DataFrame:
     """Alerts newer than ``as_of - hours``; as_of defaults to the newest alert."""
     if as_of is None:

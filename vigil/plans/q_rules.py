@@ -349,3 +349,12 @@ def p4_sensor_thresholds(spark, sf_dir):
     """Alert levels with per-sensor failure thresholds (default 0.7 where none)."""
     s = al.with_thresholds(scored(spark, sf_dir), sensor_thresholds(spark, sf_dir))
     return al.build_alerts(s).select("reading_id", "sensor_id", "alert_level")
+
+
+@register("s5_alert_stats_hourly", BASE + SCORED + ALERTS + """
+SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end,
+       alert_level, count(*) AS n
+FROM alerts GROUP BY 1, 2, 3""")
+def s5_alert_stats_hourly(spark, sf_dir):
+    """Alerts per level per hourly event-time window (batch form of the streaming statistics)."""
+    return al.alert_stats_by_window(alerts(spark, sf_dir), "1 hour")
