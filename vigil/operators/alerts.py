@@ -24,8 +24,9 @@ COLORS = {"EMERGENCY": "#FF0000", "CRITICAL": "#FF6600", "WARNING": "#FFAA00", "
 DEFAULT_COLOR = "#000000"
 ICONS = {"EMERGENCY": "🚨", "CRITICAL": "⚠️", "WARNING": "⚠️", "INFO": "ℹ️"}
 DEFAULT_ICON = "📊"
-FOOTER = "Equipment Failure Predictor"
 LEVEL_ORDER = {"INFO": 0, "WARNING": 1, "CRITICAL": 2, "EMERGENCY": 3}
+# Our own footer for outbox payloads (not a reference value).
+FOOTER = "vigil alerts"
 
 PREDICTION_FIELDS = (
     "risk_score", "failure_probability", "anomaly_score", "online_probability", "is_failure", "is_anomaly",
