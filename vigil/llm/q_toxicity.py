@@ -1,0 +1,15 @@
+"""op7: toxicity of all documents."""
+
+from pyspark.sql import functions as F
+
+from vigil.llm.common import fold, table
+from vigil.llm.registry import query
+from vigil.llm.toxicity import score, train
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    """Deobfuscated word weights learned outside the held-out fold, all documents scored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing this module registers them."""
 
-from vigil.llm import q_exact_dedup, q_mixing, q_packing, q_quality, q_token_files, q_topk  # noqa: F401
+from vigil.llm import q_exact_dedup, q_mixing, q_packing, q_quality, q_token_files, q_topk, q_toxicity  # noqa: F401
 from vigil.llm.registry import ORACLE, QUERIES  # noqa: F401
