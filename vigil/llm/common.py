@@ -41,3 +41,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def fold(column: str, parts: int):
     """crc32 of the id's decimal text modulo ``parts``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def carried(docs: DataFrame, **keys) -> DataFrame:
+    """The whole row as one column ``row`` beside key columns, so that no name of the input can clash; ``row.*`` gives it back."""
+    return docs.select(F.struct("*").alias("row"), *[expr.alias(name) for name, expr in keys.items()])

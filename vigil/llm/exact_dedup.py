@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import store
+from vigil.llm.common import carried, store
 
 BLOCK_BYTES = 16384
 DIGESTS = ("xxhash64({0})", "sha2({0}, 256)", "hex({0})")
@@ -83,8 +83,9 @@ def exact_groups(docs: DataFrame, **args) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, text=text, doc_id=doc_id).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = rows.join(store(kept, "kept"), (rows[doc_id].eqNullSafe(F.col("_id"))) & (rows["_sha"] == kept["_sha"]), "left_semi")
+    kept = exact_groups(docs, text=text, doc_id=doc_id).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    kept = store(kept.distinct(), "kept")
+    rows = carried(docs, doc_id=F.col(doc_id), text_sha256=F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha")), "left_semi")
     # rows repeated whole (same id, same text) are one row from here on
-    return rows.dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    return rows.dropDuplicates(["doc_id", "text_sha256"]).select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WORD_GAP, store
+from vigil.llm.common import WORD_GAP, carried, store
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -33,14 +33,15 @@ def words_of(text: str):
 
 
 def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 42) -> DataFrame:
-    """doc_id, source, size and the sampling key of every row.
+    """doc_id, text_hash, source, size and the sampling key of every row.
 
     Quality weight: 0.5 + the share of distinct words, so repetitive texts come later.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words_of(text).alias("words"))
-    rows = rows.select("doc_id", "source", F.size("words").cast("long").alias("size"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
+                       F.col(source).cast("string").alias("source"), words_of(text).alias("words"))
+    rows = rows.select("doc_id", "text_hash", "source", F.size("words").cast("long").alias("size"),
                        (0.5 + F.size(F.array_distinct("words")) / F.greatest(F.size("words"), F.lit(1))).alias("weight"))
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return rows.withColumn("key", -F.log(unit) / F.col("weight"))
 
 
@@ -66,9 +67,9 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
                       F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS,
+def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS,
         share: float = SHARE, most: float = MOST, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row."""
+    """doc_id, text_hash, size, source_size, target, taken for every row."""
     rows = store(measured(docs, text, doc_id, source, seed), "sizes")
     src = store(targets(rows, weights, share, most), "targets").withColumnRenamed("source", "_source")
     rows = rows.join(src, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
@@ -81,11 +82,28 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sums = store(sums.select(F.col("source").alias("_source"), F.col("range").alias("_range"),
                              F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead")), "ranges")
     rows = rows.join(sums, rows["source"].eqNullSafe(F.col("_source")) & (rows["range"] == F.col("_range")))
-    inside = W.partitionBy("_source", "_range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_source", "_range").orderBy("key", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("start", start).withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("start") + F.col("size") / 2 <= rest) & (F.col("size") > 0) & (F.col("epochs") < most)
     taken = F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "text_hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **args) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row."""
+    return plan(docs, **args).drop("text_hash")
+
+
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **args) -> DataFrame:
+    """The rows the mix takes, with all their columns, as often as it takes them."""
+    copies = plan(docs, text=text, doc_id=doc_id, **args).filter("taken > 0")
+    # rows repeated whole share their copies
+    copies = copies.groupBy("doc_id", "text_hash").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    copies = store(copies, "copies").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "_copies")
+    rows = carried(docs, doc_id=F.col(doc_id), text_hash=F.xxhash64(F.col(text)))
+    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    rows = rows.dropDuplicates(["doc_id", "text_hash"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import store
+from vigil.llm.common import carried, store
 from vigil.llm.graph import components
 
 WORDS = 5
@@ -262,5 +262,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows whose doc_id names their group, with all their columns; documents without words all stay."""
-    kept = near_duplicates(docs, text, doc_id).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(store(kept, "kept"), docs[doc_id].eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs, text, doc_id).filter("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = carried(docs, doc_id=F.col(doc_id).cast("long"))
+    return rows.join(store(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")

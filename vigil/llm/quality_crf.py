@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import fold
+from vigil.llm.common import carried, fold
 
 TRAINING_DOCS = 2500
 ROUNDS = 120
@@ -213,8 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(x, counts, np.concatenate([np.asarray(r[3]) for r in got]), np.array([r[1] for r in got], dtype=float))
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the quality score, 0 to 1."""
+def _scorer(docs: DataFrame, model: dict | None):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -223,4 +222,15 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", column: str =
 
         return pd.Series(predict(shared.value, texts.tolist()))
 
-    return docs.withColumn(column, quality(F.col(text).cast("binary")))
+    return quality
+
+
+def score(docs: DataFrame, model: dict | None, text: str = "text", column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the quality score, 0 to 1; a column of that name is replaced."""
+    return docs.withColumn(column, _scorer(docs, model)(F.col(text).cast("binary")))
+
+
+def accepted(docs: DataFrame, model: dict | None, least: float, text: str = "text") -> DataFrame:
+    """The rows whose score is ``least`` or more, with all their columns."""
+    rows = carried(docs, quality=_scorer(docs, model)(F.col(text).cast("binary")))
+    return rows.filter(F.col("quality") >= least).select("row.*")
