@@ -129,7 +129,7 @@ def test_exact_quantile_refinement_matches_percentile(spark, monkeypatch):
     from vigil.functions import stats
     from vigil.sources import views as v
 
-    monkeypatch.setattr(stats, "_DIRECT_ROWS", 50)
+    monkeypatch.setattr(stats, "_LAST_VALUES", 50)
     r = v.lineitem_series(spark, SF001)
     q = stats.exact_quantiles(r, {"vibration": [0.1, 0.25, 0.5, 0.75, 0.97], "temperature": [0.25, 0.75]}, accuracy=100)
     want = r.agg(*[F.percentile("vibration", p).alias(f"v{p}") for p in (0.1, 0.25, 0.5, 0.75, 0.97)],
@@ -152,3 +152,21 @@ def test_one_hot_vector_matches_dummies(spark):
     for row in rows:
         vec = row["sensor_onehot"].toArray()
         assert vec.sum() == 1.0 and vec[sensors.index(row["sensor_id"])] == 1.0
+
+
+@pytest.mark.parametrize("distinct", [1, 2, 4, 1500])
+def test_quantiles_with_many_ties_stay_off_the_driver(spark, distinct):
+    """Two million rows of few values: no job returns more than one row of statistics."""
+    from vigil.functions import stats
+
+    df = spark.range(2_000_000).select(((F.col("id") * 7919) % distinct).cast("double").alias("x"))
+    got = stats.exact_quantiles(df, {"x": [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]})
+    want = df.agg(*[F.percentile("x", F.lit(p)).alias(str(p)) for p in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)]).first().asDict()
+    assert {str(p): v for (_, p), v in got.items()} == want
+
+
+def test_exact_bounds_by_group_are_refused(spark):
+    from vigil.operators.clean import iqr_bounds
+
+    with pytest.raises(ValueError, match="exact"):
+        iqr_bounds(spark.range(3).select("id", F.col("id").cast("double").alias("pressure")), ["pressure"], by=["id"])

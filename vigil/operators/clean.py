@@ -132,12 +132,13 @@ def iqr_bounds(df: DataFrame, channels=CHANNELS, k: float = IQR_K, method: str =
     bounded regardless of cardinality; returns a literal one-row table.
     ``percentile``: Spark's exact aggregate (merges every distinct value in one
     final task: only for low-cardinality columns). ``approx``:
-    ``percentile_approx``. With ``by`` (per-group bounds) ``exact`` uses
-    ``percentile_approx`` too, since an exact per-group merge would put a hot
-    group's distinct values into one task.
+    ``percentile_approx``. Per-group bounds (``by``) need one of the other two
+    methods: an exact per-group search would be a driver loop over groups.
     """
     ch = channels_in(df, channels)
-    if method == "exact" and by is None:
+    if method == "exact":
+        if by:
+            raise ValueError("exact bounds are global; use method='approx' or 'percentile' with by=")
         q = exact_quantiles(df, {c: [0.25, 0.75] for c in ch})
         row = {}
         for c in ch:
@@ -146,7 +147,7 @@ def iqr_bounds(df: DataFrame, channels=CHANNELS, k: float = IQR_K, method: str =
         return df.sparkSession.createDataFrame([tuple(row.values())], schema)
     aggs = []
     for c in ch:
-        q1, q3 = quantile_exprs(c, [0.25, 0.75], exact=(method == "percentile" or (method == "exact" and not by)))
+        q1, q3 = quantile_exprs(c, [0.25, 0.75], exact=method == "percentile")
         aggs += [q1.alias(f"q1_{c}"), q3.alias(f"q3_{c}")]
     st = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     out = []
