@@ -7,9 +7,22 @@ has met in a table of bounded size, as little-endian unsigned 32-bit bytes.
 
 from __future__ import annotations
 
-#: Words that a worker remembers; the table is emptied beyond that.
-CACHED_WORDS = 600_000
+import struct
+
+#: Words that a worker remembers.
+CACHED_WORDS = 1_000_000
 _TAIL = b".,;:!?*$%&#"
+_SAMPLES = ("the", "Überraschung", "señora", "çà", "xqzvw", "a", "thandeingly", "ærøÿß")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The published byte-level alphabet: printable bytes stand for themselves, the others follow U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class WordIds(dict):
@@ -20,23 +33,33 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._model = self._tokenizer.model
+        # words of plain letters need neither normalizing nor cutting: their bytes go straight to the
+        # vocabulary's merges, if a vocabulary shows on samples that it works that way
+        self._direct = False
+        self._direct = all(self._letters(w) == self._ids(w) for w in _SAMPLES)
 
-    def _encode(self, word: bytes) -> bytes:
-        import numpy as np
+    def _ids(self, word: str) -> list[int]:
+        return self._tokenizer.encode(word, add_special_tokens=False).ids
 
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def _letters(self, word: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
+    def _encode(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = self._direct and text.isalpha() and max(text) < "\u0130"
+        ids = self._letters(text) if plain else self._ids(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         core = word.rstrip(_TAIL)
         # letters and marks never share a token, so a tail of marks behind a letter can stand apart
         if len(core) < len(word) and core and 97 <= core[-1] <= 122:
             ids = self[core] + self[word[len(core):]]
         else:
             ids = self._encode(word)
-        self[word] = ids
+        if len(self) < CACHED_WORDS:  # frequent words are met early; a full table serves them and works out the rest anew
+            self[word] = ids
         return ids
 
     def text(self, text: bytes | None) -> bytes:
