@@ -1,13 +1,13 @@
 """M3/M4: isolation forest (Liu, Ting, Zhou, ICDM 2008) on Spark.
 
-Fit: each tree sees at most ``psi`` (256) sampled rows. Rows are assigned to
-trees by a stable hash and pre-thinned, then ``row_number() <= psi`` per tree
-(planned as a partial WindowGroupLimit, so no task receives more than psi rows
-per map partition); ``groupBy(tree_id).applyInPandas`` grows one tree per group
-from <= 256 rows. The tree table has at most n_trees * (2 psi - 1) rows: a
-proven bound, so it is broadcast for scoring. Scoring is ``mapInPandas`` with
-numpy traversal of all trees per Arrow batch, after a round-robin spread over
-the cores (AQE may have coalesced a small upstream into one partition).
+Fit: each tree sees min(psi, n) rows. Every (row, tree) pair draws by a stable
+hash with probability 4 psi / n, then ``row_number() <= psi`` per tree (planned
+as a partial WindowGroupLimit, so no task receives more than psi rows per map
+partition); ``groupBy(tree_id).applyInPandas`` grows one tree per group. The
+tree table has at most n_trees * (2 psi - 1) rows: a proven bound, so it is
+broadcast for scoring. Scoring is a scalar pandas UDF over the array of
+features: only that array goes to Python and one number per row comes back, in
+the partitions the rows are in.
 
 decision = -2^(-E[h(x)] / c(psi)) - offset, with offset the ``contamination``
 quantile of the training scores; anomalous when decision < threshold (0).
@@ -115,21 +115,15 @@ def _builder(features, psi: int, seed: int):
 
 
 def _sample(df: DataFrame, features, n: int, n_trees: int, psi: int, seed: int, id_col: str) -> DataFrame:
+    """psi rows per tree: one draw per (row, tree), the same for any n (4 psi / n may pass 1)."""
     from pyspark.sql import Window
 
     x = df.select(F.col(id_col).alias("_id"), *features)
-    if n <= n_trees * psi:
-        # small table: every tree draws psi rows from all rows (overlapping samples)
-        x = x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        key = stable_unit(F.concat_ws(":", F.col("tree_id").cast("string"), F.col("_id").cast("string")), seed)
-    else:
-        keep = min(1.0, 4.0 * n_trees * psi / n)
-        u = stable_unit("_id", seed)
-        x = x.filter(u < F.lit(keep)).withColumn(
-            "tree_id", (F.conv(F.substring(F.md5(F.concat(F.lit(f"t{seed}:"), F.col("_id").cast("string"))), 1, 8),
-                               16, 10).cast("long") % n_trees).cast("int"))
-        key = stable_unit(F.concat(F.lit("r:"), F.col("_id").cast("string")), seed)
-    w = Window.partitionBy("tree_id").orderBy(key)
+    keep = int(min(1.0, 4.0 * psi / max(n, 1)) * (1 << 32))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                     lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_id")), F.lit(1 << 32)) < F.lit(keep))
+    x = x.withColumn("tree_id", F.explode(trees))
+    w = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.lit(seed + 1), "tree_id", "_id"), "_id")
     return x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).drop("_rn")
 
 
@@ -151,36 +145,39 @@ def _path_lengths(trees_arrays, x: np.ndarray) -> np.ndarray:
     return total / len(trees_arrays)
 
 
-def raw_scores(model_arrays, psi_eff: int, x: np.ndarray) -> np.ndarray:
-    """score_samples: -2^(-E[h]/c(psi))."""
+def raw_scores(model_arrays, x: np.ndarray) -> np.ndarray:
+    """score_samples: -2^(-E[h]/c(psi)), with c averaged over the trees' true sample sizes."""
     eh = _path_lengths(model_arrays, x)
-    return -np.power(2.0, -eh / c_factor([psi_eff])[0])
+    c = float(np.mean(c_factor([t[4][0] for t in model_arrays])))
+    return -np.power(2.0, -eh / c) if c > 0 else np.full(len(x), -0.5)
 
 
-def _score_frame(df: DataFrame, model: IsolationForestModel, offset: float, out_col: str, psi_eff: int,
-                 threshold: float | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(model.arrays())
-    feats = list(model.features)
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())]
-                          + ([T.StructField("is_anomaly", T.BooleanType())] if threshold is not None else []))
+def _raw_score(df: DataFrame, model: IsolationForestModel):
+    """Column expression: the features as one array in, one score out; missing counts as 0."""
+    bc = df.sparkSession.sparkContext.broadcast(model.arrays())
+    width = len(model.features)
 
-    def run(it):
-        arrays = bc.value
-        for pdf in it:
-            x = pdf[feats].to_numpy(dtype=float)
-            s = raw_scores(arrays, psi_eff, np.nan_to_num(x)) - offset
-            pdf[out_col] = s
-            if threshold is not None:
-                pdf["is_anomaly"] = s < threshold
-            yield pdf
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        m = np.concatenate(x.to_numpy()).reshape(-1, width) if len(x) else np.zeros((0, width))
+        return pd.Series(raw_scores(bc.value, np.nan_to_num(m)))
 
-    n = max(sc.defaultParallelism, df.rdd.getNumPartitions())
-    return df.repartition(n).mapInPandas(run, schema)
+    return score(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model.features]))
 
 
 def fit_isolation_forest(df: DataFrame, features, n_trees: int = 100, psi: int = 256, contamination: float = 0.1,
                          seed: int = 42, id_col: str = "reading_id") -> IsolationForestModel:
+    model, _, raw = fit_and_score(df, features, n_trees, psi, contamination, seed, id_col)
+    raw.unpersist()
+    return model
+
+
+def fit_and_score(df: DataFrame, features, n_trees: int = 100, psi: int = 256, contamination: float = 0.1,
+                  seed: int = 42, id_col: str = "reading_id") -> tuple[IsolationForestModel, DataFrame, DataFrame]:
+    """The model, the training rows' ``anomaly_score`` and ``is_anomaly``, and the cached frame under them to unpersist.
+
+    All rows are scored once: offset, range and metrics come from that one narrow frame.
+    """
     n = df.count()
     psi_eff = int(min(psi, max(n, 1)))
     sample = _sample(df, features, n, n_trees, psi_eff, seed, id_col)
@@ -189,13 +186,13 @@ def fit_isolation_forest(df: DataFrame, features, n_trees: int = 100, psi: int =
         _builder(schema_in, psi_eff, seed), TREE_SCHEMA
     ).toPandas()  # bounded: n_trees * (2 psi - 1) rows
     model = IsolationForestModel(trees, list(features), psi_eff, 0.0, n_trees)
-    scored = _score_frame(df.select(*features), model, 0.0, "_s", psi_eff).cache()
-    q = exact_quantiles(scored, {"_s": [contamination]})
-    scored.unpersist()
-    model.offset = float(q[("_s", contamination)])
-    return model
+    raw = df.select(_raw_score(df, model).alias("_s")).cache()
+    model.offset = float(exact_quantiles(raw, {"_s": [contamination]})[("_s", contamination)])
+    scored = raw.select((F.col("_s") - F.lit(model.offset)).alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") < 0)
+    return model, scored, raw
 
 
 def score_isolation_forest(model: IsolationForestModel, df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """M4: adds ``anomaly_score`` (decision function) and ``is_anomaly``."""
-    return _score_frame(df, model, model.offset, "anomaly_score", model.psi, threshold)
+    x = df.withColumn("anomaly_score", _raw_score(df, model) - F.lit(model.offset))
+    return x.withColumn("is_anomaly", F.col("anomaly_score") < F.lit(threshold))

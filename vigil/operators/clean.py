@@ -8,6 +8,8 @@ scaling. Every statistic is a one-row aggregate joined back by broadcast.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from vigil.functions.core import clip, nan_to_null, safe_div, to_double
 from vigil.functions.series import Series
 from vigil.functions.stats import exact_quantiles, moments, quantile_exprs
 from vigil.plans.chunking import CHUNK, DEFAULT_CHUNK_ROWS, HALO, finish, plan_chunks
+from vigil.session import stored
 
 
 def channels_in(df: DataFrame, channels=CHANNELS) -> list[str]:
@@ -99,7 +102,7 @@ def fill_missing(
     )
     filled = finish(filled, s)
     if materialize:
-        filled = written(filled)
+        filled = stored(filled)
     if not median:
         return filled
     if fixed is not None:
@@ -243,15 +246,73 @@ def clean(
     return clip_outliers(x, iqr_bounds(x, channels, method=quantiles), channels)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back (lineage cut, columnar)."""
-    import uuid
+@dataclass
+class CleaningStats:
+    """What cleaning and the health score learn from a table, per channel; None where a channel has no value."""
+
+    medians: dict
+    bounds: dict  # channel -> (lower, upper)
+    min_max: dict  # channel -> (min, max) of the cleaned table
+
+    def medians_frame(self, spark) -> DataFrame:
+        return _one_row(spark, {f"median_{c}": m for c, m in self.medians.items()})
+
+    def bounds_frame(self, spark) -> DataFrame:
+        return _one_row(spark, {f"{k}_{c}": b[i] for c, b in self.bounds.items() for i, k in enumerate(("lower", "upper"))})
+
+    def min_max_frame(self, spark) -> DataFrame:
+        return _one_row(spark, {f"_{k}_{c}": b[i] for c, b in self.min_max.items() for i, k in enumerate(("min", "max"))})
+
+    def to_dict(self) -> dict:
+        return {"medians": self.medians, "bounds": {c: list(b) for c, b in self.bounds.items()},
+                "min_max": {c: list(b) for c, b in self.min_max.items()}}
+
+    @staticmethod
+    def from_dict(d: dict) -> "CleaningStats":
+        return CleaningStats(d["medians"], {c: tuple(b) for c, b in d["bounds"].items()},
+                             {c: tuple(b) for c, b in d["min_max"].items()})
 
-    from vigil.session import ensure_checkpoint_dir
 
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _one_row(spark, values: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} double" for n in values))
+
+
+def fit_cleaning(df: DataFrame, channels=CHANNELS, series: Series = Series(),
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> tuple[DataFrame, CleaningStats]:
+    """C10 on ``df`` and the statistics it used, so that later rows are cleaned the same way (``clean_fixed``)."""
+    ch = channels_in(df, channels)
+    spark = df.sparkSession
+    filled = fill_missing(coerce(df, ch), ch, series, chunk_rows, median=False, materialize=True)
+    q = exact_quantiles(filled, {c: [0.25, 0.5, 0.75] for c in ch})
+    medians = {c: None if q[(c, 0.5)] is None else float(q[(c, 0.5)]) for c in ch}
+    empty = filled.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ch]).first().asDict() if ch else {}
+    need = [c for c in ch if empty[c]]  # sensors without any value take the median, which moves the quartiles
+    if need:
+        med = _one_row(spark, {f"median_{c}": medians[c] for c in need})
+        filled = filled.crossJoin(F.broadcast(med)).select(
+            *[F.coalesce(F.col(c), F.col(f"median_{c}")).alias(c) if c in need else F.col(c) for c in df.columns])
+        q |= exact_quantiles(filled, {c: [0.25, 0.75] for c in need})
+    bounds = {}
+    for c in ch:
+        b = _bounds_row(c, q[(c, 0.25)], q[(c, 0.75)], IQR_K)
+        bounds[c] = (b[f"lower_{c}"], b[f"upper_{c}"])
+    stats = CleaningStats(medians, bounds, {})
+    cleaned = clip_outliers(filled, stats.bounds_frame(spark), ch) if ch else filled
+    if ch:
+        mm = cleaned.agg(*[f(c).alias(f"{n}{c}") for c in ch for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        stats.min_max = {c: (mm[f"lo{c}"], mm[f"hi{c}"]) for c in ch}
+    return cleaned, stats
+
+
+def clean_fixed(df: DataFrame, stats: CleaningStats, series: Series = Series(),
+                chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """C10 with statistics from fit time: coerce, fill, clip. No pass over the table for statistics."""
+    ch = [c for c in stats.medians if c in df.columns]
+    if not ch:
+        return df
+    spark = df.sparkSession
+    x = fill_missing(coerce(df, ch), ch, series, chunk_rows, fixed=stats.medians_frame(spark))
+    return clip_outliers(x, stats.bounds_frame(spark), ch)
 
 
 def clean_normalize(df: DataFrame, channels=CHANNELS, **kw) -> DataFrame:

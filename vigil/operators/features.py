@@ -15,6 +15,7 @@ from vigil.config import CHANNELS, FeatureConfig
 from vigil.functions import series as fs
 from vigil.functions.series import Series
 from vigil.plans.chunking import CHUNK, DEFAULT_CHUNK_ROWS, HALO, finish, plan_chunks
+from vigil.session import stored
 
 
 def channels_in(df: DataFrame, channels=CHANNELS) -> list[str]:
@@ -160,7 +161,7 @@ def latest_per_key(df: DataFrame, key=("sensor_id",), order=("timestamp", "readi
 
 
 def latest_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), series: Series = Series(),
-                    min_max: DataFrame | None = None, broadcast_rows: int = 5_000_000) -> DataFrame:
+                    min_max: DataFrame | None = None) -> DataFrame:
     """W16 evaluated at each sensor's latest row only (W17 of W16), exactly.
 
     A row's features need its ``history`` predecessors, so only each sensor's
@@ -168,21 +169,29 @@ def latest_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), series:
     partial WindowGroupLimit (k rows per key per map task cross the shuffle, a
     hot sensor included). Global min/max still come from the whole table, and
     the one unbounded look-back (pct change over NULL gaps) gets a per-sensor
-    carry: the last non-NULL value older than the tail (partial ``max_by``).
+    carry: the last non-NULL value older than the tail (partial ``max_by``),
+    looked up for the sensors that need it. A NULL sensor is a sensor here (I3
+    rejects such rows, scoring does not).
     """
     ch = channels_in(df, cfg.channels)
     key, order = list(series.key), list(series.order)
     k = cfg.history + 1
     w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
-    tail = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+    tail = stored(df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk"), "tail")
     ordk = F.struct(*[F.col(o) for o in order])
-    start = tail.groupBy(*key).agg(F.min(ordk).alias("_start"))
-    n = start.count()
-    older = df.join(F.broadcast(start) if n <= broadcast_rows else start, key).filter(ordk < F.col("_start"))
-    carry = older.groupBy(*key).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordk)).alias(fs.CARRY + c) for c in ch],
-    )
-    t = tail.join(F.broadcast(carry) if n <= broadcast_rows else carry, key, "left")
+    # only sensors with a full tail that lacks two values of a channel can depend on older rows
+    short = tail.groupBy(*[F.col(x).alias(f"_k_{x}") for x in key]).agg(
+        F.min(ordk).alias("_start"), F.count(F.lit(1)).alias("_n"), F.least(F.lit(k), *[F.count(F.col(c)) for c in ch]).alias("_least"))
+    short = stored(short.filter((F.col("_n") == k) & (F.col("_least") < 2)).drop("_n", "_least"), "short")
+    nulls = [F.lit(None).cast("double").alias(fs.CARRY + c) for c in ch]
+    if short.isEmpty():
+        t = tail.select("*", *nulls)
+    else:
+        same = [F.col(x).eqNullSafe(F.col(f"_k_{x}")) for x in key]
+        older = df.join(short, same).filter(ordk < F.col("_start"))
+        carry = older.groupBy(*[f"_k_{x}" for x in key]).agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordk)).alias(fs.CARRY + c) for c in ch])
+        t = tail.join(stored(carry, "carry"), same, "left").drop(*[f"_k_{x}" for x in key])
     t = t.select(*t.columns, *[F.lit(None).cast("double").alias(fs.FIRST + c) for c in ch])
     s = Series(series.key, series.order, None, True)
     with_health = set(CHANNELS) <= set(ch)

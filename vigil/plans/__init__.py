@@ -3,13 +3,7 @@
 
 def load_all():
     """Import every query module so REGISTRY is complete."""
-    from vigil.plans import q_features  # noqa: F401
-    for mod in ("q_clean", "q_rules", "q_models", "q_explain", "q_sources"):
-        try:
-            __import__(f"vigil.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"vigil.plans.{mod}":
-                raise
+    from vigil.plans import q_clean, q_explain, q_features, q_models, q_rules, q_sources  # noqa: F401
     from vigil.plans.registry import REGISTRY
 
     return REGISTRY

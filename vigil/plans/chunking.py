@@ -8,7 +8,7 @@ sensor can be cut into row-balanced chunks processed in parallel:
 
 1. ``groupBy(sensor).count/min/max`` (map-side partial aggregation) finds hot
    sensors, those with more than ``chunk_rows`` rows. There are at most
-   N / chunk_rows of them, a proven bound for the broadcast below.
+   N / chunk_rows of them.
 2. Each hot sensor's time range is cut into ``subs`` equal sub-buckets per
    expected chunk; rows are counted per (sensor, sub-bucket) (partial agg).
    A sub-bucket that still holds more than ``chunk_rows`` rows (a burst) is
@@ -17,8 +17,8 @@ sensor can be cut into row-balanced chunks processed in parallel:
 3. On that small table a running count assigns sub-buckets to chunks of about
    ``chunk_rows`` rows, and each chunk receives as *halo* the whole sub-buckets
    that hold the ``history`` rows right before it (exact, never a cap).
-4. The data is tagged by two broadcast hash joins (no shuffle) and exploded to
-   (chunk, halo) targets; windows then partition by (sensor, chunk), halo rows
+4. The data is tagged by joins with these stored tables, which Spark broadcasts
+   as long as they are small in bytes, and exploded to (chunk, halo) targets; windows then partition by (sensor, chunk), halo rows
    supply the preceding context and are dropped afterwards.
 5. Unbounded carries come from a per-(hot sensor, chunk) aggregate of the last
    and first non-null value, combined over earlier chunks on the small table.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.series import CARRY, FIRST, Series
+from vigil.session import stored
 
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -43,7 +44,6 @@ SUB2 = "_sub2"  # finer equi-depth levels inside heavy sub-buckets (a struct)
 LEVELS = 4
 CUTS = 64
 DEFAULT_CHUNK_ROWS = 4_000_000
-BROADCAST_ROWS = 2_000_000
 _EPOCH = "1970-01-01 00:00:00"
 
 
@@ -59,10 +59,6 @@ def order_number(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("long")
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 def plan_chunks(
     df: DataFrame,
     series: Series,
@@ -70,7 +66,6 @@ def plan_chunks(
     chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
     carry_channels=(),
     subs: int = 8,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> tuple[DataFrame, Series]:
     """Tag rows with (_chunk, _halo) when some sensor is hot; else return input."""
     if not chunk_rows:
@@ -88,21 +83,17 @@ def plan_chunks(
             F.greatest(F.lit(1).cast("long"), F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_nb"))),
         )
         .select(*key, "_t0", "_w", "_nb")
-        .cache()
     )
-    n_hot = hot.count()
-    if n_hot == 0:
-        hot.unpersist()
+    hot = stored(hot, "hot")
+    if hot.isEmpty():
         return df, series
-    hot_b = _maybe_broadcast(hot, n_hot, broadcast_rows)
 
     def sub_of(frame: DataFrame) -> Column:
-        return F.when(
-            F.col("_t0").isNotNull(),
-            F.least(F.col("_nb") - 1, F.floor((order_number(frame, series.order[0]) - F.col("_t0")) / F.col("_w"))),
-        )
+        # rows without a time come first in every window, so they are the first sub-bucket
+        at = F.floor((order_number(frame, series.order[0]) - F.col("_t0")) / F.col("_w"))
+        return F.when(F.col("_t0").isNotNull(), F.coalesce(F.least(F.col("_nb") - 1, F.when(at.isNotNull(), at)), F.lit(-1).cast("long")))
 
-    tagged = df.join(hot_b, key, "left")
+    tagged = df.join(hot, key, "left")
     tagged = tagged.withColumn(SUB, sub_of(tagged)).drop("_nb")
 
     tagged = tagged.drop("_t0", "_w")
@@ -115,19 +106,18 @@ def plan_chunks(
     for lvl in range(1, LEVELS + 1):
         bkey = key + [SUB] + levels
         counts = tagged.filter(F.col(SUB).isNotNull()).groupBy(*bkey).agg(F.count(F.lit(1)).alias("_ns"))
-        heavy = counts.filter(F.col("_ns") > F.lit(chunk_rows)).select(*bkey).cache()
-        n_heavy = heavy.count()
-        if n_heavy == 0 or lvl == LEVELS:
+        heavy = counts.filter(F.col("_ns") > F.lit(chunk_rows)).select(*bkey)
+        heavy = stored(heavy, "heavy")
+        if lvl == LEVELS or heavy.isEmpty():
             break
-        hb = _maybe_broadcast(heavy, n_heavy, broadcast_rows)
-        cuts = (
-            tagged.join(hb, bkey, "left_semi")
+        cuts = stored(
+            tagged.join(heavy, bkey, "left_semi")
             .groupBy(*bkey)
-            .agg(F.percentile_approx(tnum, [j / CUTS for j in range(1, CUTS)], 10_000).alias("_cuts"))
-            .cache()
+            .agg(F.percentile_approx(tnum, [j / CUTS for j in range(1, CUTS)], 10_000).alias("_cuts")),
+            "cuts",
         )
         lc = f"_l{lvl}"
-        tagged = tagged.join(_maybe_broadcast(cuts, n_heavy, broadcast_rows), bkey, "left")
+        tagged = tagged.join(cuts, bkey, "left")
         tagged = tagged.withColumn(
             lc,
             F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= tnum)))
@@ -142,7 +132,7 @@ def plan_chunks(
         "_cb", F.coalesce(F.sum("_ns").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_raw", F.floor(F.col("_cb") / F.lit(chunk_rows)))
     counts = counts.withColumn(CHUNK, (F.dense_rank().over(Window.partitionBy(*key).orderBy("_raw")) - 1).cast("int"))
-    counts = counts.cache()
+    counts = stored(counts, "counts")
     starts = counts.groupBy(*key, CHUNK).agg(F.min("_cb").alias("_start"))
     own = counts.select(*key, SUB, SUB2, F.col(CHUNK).alias("_target"), F.lit(False).alias("_h"))
     halo = (
@@ -154,17 +144,15 @@ def plan_chunks(
         .filter(F.col("_start") - F.col("_end") < F.lit(history))
         .select(*key, SUB, SUB2, F.col(CHUNK).alias("_target"), F.lit(True).alias("_h"))
     )
-    mapping = (
+    mapping = stored(
         own.unionByName(halo)
         .groupBy(*key, SUB, SUB2)
-        .agg(F.collect_list(F.struct(F.col("_target").alias("c"), F.col("_h").alias("h"))).alias("_targets"))
-        .cache()
+        .agg(F.collect_list(F.struct(F.col("_target").alias("c"), F.col("_h").alias("h"))).alias("_targets")),
+        "mapping",
     )
-    n_map = mapping.count()
-    mapping_b = _maybe_broadcast(mapping, n_map, broadcast_rows)
 
     default = F.array(F.struct(F.lit(0).alias("c"), F.lit(False).alias("h")))
-    x = tagged.join(mapping_b, key + [SUB, SUB2], "left").withColumn(
+    x = tagged.join(mapping, key + [SUB, SUB2], "left").withColumn(
         "_tg", F.explode(F.coalesce(F.col("_targets"), default))
     )
     x = x.withColumn(CHUNK, F.col("_tg.c")).withColumn(HALO, F.col("_tg.h")).drop("_tg", "_targets")
@@ -172,13 +160,13 @@ def plan_chunks(
     s = series.chunked(CHUNK)
     carry_channels = [c for c in carry_channels if c in df.columns]
     if carry_channels:
-        x = _attach_carry(x, s, key, carry_channels, broadcast_rows)
+        x = _attach_carry(x, s, key, carry_channels)
     else:
         s = Series(series.key, series.order, CHUNK, False)
     return x.drop(SUB, SUB2), s
 
 
-def _attach_carry(x: DataFrame, s: Series, key, channels, broadcast_rows: int) -> DataFrame:
+def _attach_carry(x: DataFrame, s: Series, key, channels) -> DataFrame:
     """Per hot chunk: last non-null before it and the sensor's first non-null."""
     ordk = F.struct(*[F.col(o) for o in s.order])
     aggs = []
@@ -195,9 +183,8 @@ def _attach_carry(x: DataFrame, s: Series, key, channels, broadcast_rows: int) -
             .over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             .alias(FIRST + c),
         ]
-    carry = per.select(*key, CHUNK, *cols).cache()
-    n = carry.count()
-    return x.join(_maybe_broadcast(carry, n, broadcast_rows), key + [CHUNK], "left")
+    carry = stored(per.select(*key, CHUNK, *cols), "carry")
+    return x.join(carry, key + [CHUNK], "left")
 
 
 def finish(df: DataFrame, s: Series) -> DataFrame:

@@ -8,7 +8,10 @@ from vigil.models import iforest as ifo
 from vigil.models import metrics as mt
 from vigil.models import pipeline as pl
 from vigil.models.split import split
+from vigil.operators import clean as cl
 from vigil.operators import features as feat
+from vigil.plans import sqlgen as g
+from vigil.plans.q_clean import CLEANED
 from vigil.plans.registry import register
 from vigil.sources import views as v
 
@@ -17,7 +20,7 @@ _MODELS: dict = {}
 
 def trained(spark, sf_dir):
     """Models trained on the whole readings table of ``sf_dir`` (once per session)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         _MODELS[key] = pl.train_all(v.readings(spark, sf_dir))
     return _MODELS[key]
@@ -82,6 +85,16 @@ def m12_score_all(spark, sf_dir):
     return pl.score_all(v.readings(spark, sf_dir), trained(spark, sf_dir)[0])
 
 
+@register("m12_serving_features", CLEANED + ", f AS (" + g.all_features_sql("cleaned", base_cols=['reading_id', 'sensor_id', 'temperature', 'vibration', 'pressure']) + ") "
+          "SELECT reading_id, sensor_id, " + ", ".join(f"CAST(coalesce({f}, 0) AS DOUBLE) AS {f}" for f in pl.feature_set()) + " FROM f", rounded=tuple(pl.feature_set()))
+def m12_serving_features(spark, sf_dir):
+    """The matrix that scoring sees for gapped readings: cleaned with fitted statistics, features, aligned."""
+    r = v.readings_gaps(spark, sf_dir)
+    _, stats = cl.fit_cleaning(r)
+    models = pl.Models(pl.feature_set(), None, None, None, (0.0, 0.0), stats)
+    return pl.aligned(pl.serving_features(r, models), models, keep=("reading_id", "sensor_id"))
+
+
 @register("m13_latest_predictions")
 def m13_latest_predictions(spark, sf_dir):
     """Latest prediction per sensor from features over its history."""
