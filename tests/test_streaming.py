@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from conftest import SF001
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.models.split import stable_unit
@@ -39,13 +40,13 @@ def test_stream_equals_batch(spark):
     allr = rd.type_readings(rd.read_envelopes(spark, src))
     # envelopes are cut by the first reading's time, so keep batches time-ordered per sensor
     stats = mon.StreamStats.fit(allr)
-    carry = mon.FeatureCarry(os.path.join(root, "state"), stats, late_path=os.path.join(root, "late"))
+    carry = mon.FeatureCarry(os.path.join(root, "state"), stats, os.path.join(root, "late"))
     q = mon.monitor_stream(mon.envelope_stream(spark, src, max_files=1), carry, os.path.join(root, "out"),
                            os.path.join(root, "ckpt"))
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(root, "out", "features"))
     late = spark.read.parquet(os.path.join(root, "late")).count() if os.path.exists(os.path.join(root, "late")) else 0
-    want = feat.all_features(cl.fill_missing(allr, fixed=stats.medians), min_max=stats.min_max)
+    want = feat.all_features(cl.clean_fixed(allr, stats.cleaning), min_max=stats.min_max)
     assert got.count() + late == allr.count()
     names = [c for c in want.columns if c != "batch"]
     g = {r["reading_id"]: r for r in got.select(*names).collect()}
@@ -122,7 +123,7 @@ def test_monitoring_cycle_scores_and_alerts(spark):
     hist = rd.type_readings(rd.read_envelopes(spark, src))
     models, _ = pl.train_all(hist, pl.feature_set("basic6"), n_trees=10, forest_kw={"numTrees": 5, "maxDepth": 4})
     stats = mon.StreamStats.fit(hist)
-    carry = mon.FeatureCarry(os.path.join(root, "state"), stats)
+    carry = mon.FeatureCarry(os.path.join(root, "state"), stats, os.path.join(root, "late"))
     q = mon.monitor_stream(
         mon.envelope_stream(spark, src, max_files=1), carry, os.path.join(root, "out"), os.path.join(root, "ckpt"),
         score=lambda f: pl.score_all(f, models, scope="fixed", features_ready=True))
@@ -132,3 +133,59 @@ def test_monitoring_cycle_scores_and_alerts(spark):
     assert scored.count() == hist.count() == alerts.count()
     r = scored.agg(F.min("risk_score"), F.max("risk_score"), F.countDistinct("batch")).first()
     assert 0.0 <= r[0] <= r[1] <= 1.0 + 1e-9 and r[2] == 3
+
+
+def test_late_rows_are_kept_and_recomputed(spark):
+    from vigil.sources import views as v
+
+    root = tempfile.mkdtemp(prefix="vigil-late-")
+    r = v.readings_gaps(spark, SF001).filter("sensor_id in ('sensor_001', 'sensor_002', 'sensor_003')")
+    r = r.withColumn("_part", F.ntile(2).over(Window.partitionBy("sensor_id").orderBy("timestamp", "reading_id")))
+    late_ids = [x[0] for x in r.filter("_part = 1 and sensor_id = 'sensor_002'").select("reading_id").limit(3).collect()]
+    first = r.filter((F.col("_part") == 1) & ~F.col("reading_id").isin(late_ids)).drop("_part")
+    second = r.filter((F.col("_part") == 2) | F.col("reading_id").isin(late_ids)).drop("_part")
+    r = r.drop("_part")
+    stats = mon.StreamStats.fit(r)
+    carry = mon.FeatureCarry(f"{root}/state", stats, f"{root}/late")
+    out = {x["reading_id"]: x for b, part in enumerate((first, second)) for x in carry.process(part, b).collect()}
+    late = spark.read.parquet(f"{root}/late").drop("batch")
+    assert sorted(x["reading_id"] for x in late.collect()) == sorted(late_ids) and not set(late_ids) & set(out)
+    on_time = r.filter(~F.col("reading_id").isin(late_ids))
+    out |= {x["reading_id"]: x for x in mon.recompute_late(on_time, late, stats).collect()}
+    want = feat.all_features(cl.clean_fixed(r, stats.cleaning), min_max=stats.min_max).collect()
+    assert len(want) == len(out)
+    for x in want:
+        for n, b in x.asDict().items():
+            a = out[x["reading_id"]][n]
+            assert a == b or abs(a - b) <= 1e-9 * max(1.0, abs(b)), (x["reading_id"], n, a, b)
+
+
+def test_a_broken_state_is_an_error(spark):
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="vigil-state-")
+    os.makedirs(f"{root}/state/v=0")
+    with open(f"{root}/state/v=0/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        mon._read_if_any(spark, f"{root}/state").count()
+    assert mon._read_if_any(spark, f"{root}/none") is None
+
+
+def test_online_weights_start_from_the_fitted_model(spark):
+    from vigil.models import classifiers as cls
+    from vigil.sources import views as v
+
+    feats = ["temperature", "vibration", "pressure"]
+    r = v.readings(spark, SF001).withColumn("y", feat.encode_label("label")).fillna(0.0, feats)
+    model = cls.fit_logistic(r, feats)
+    w, scaler = cls.logistic_weights(model, feats)
+    a = {x["reading_id"]: x["online_probability"] for x in cls.predict_online(model, r).collect()}
+    b = {x["reading_id"]: x["online_probability"] for x in mon.predict_with_newest(r, "/nowhere/weights", feats, scaler, w).collect()}
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_nan_text_is_rejected(spark):
+    raw = spark.createDataFrame([("2024-01-01 00:00:00", "s", "NaN", "1.0", "2.0", "normal"), ("2024-01-01 00:01:00", "s", "3.0", "1.0", "2.0", "normal")],
+                                "timestamp string, sensor_id string, temperature string, vibration string, pressure string, label string")
+    assert tuple(rd.validation_counts(rd.type_readings(raw)).first()) == (1, 1)

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 100 trees, depth 10, seed 42; logistic L2 strength 1e-4.
@@ -44,6 +44,35 @@ def fit_logistic(train: DataFrame, features, label: str = "y", **kw) -> Pipeline
     return pipe.fit(train)
 
 
+def logistic_weights(model: PipelineModel, features) -> tuple[dict, dict]:
+    """(weights on scaled features with 'bias', {feature: (mean, std)}) of a fitted M7 pipeline: where M9 starts."""
+    scaler, lr = model.stages[1], model.stages[2]
+    weights = {"bias": float(lr.intercept), **{f: float(w) for f, w in zip(features, lr.coefficients.toArray())}}
+    return weights, {f: (float(m), float(s)) for f, m, s in zip(features, scaler.mean.toArray(), scaler.std.toArray())}
+
+
+def scaled(f: str, scaler: dict | None = None) -> Column:
+    """A feature as the logistic model sees it: missing is 0, then standard scaling; a constant becomes 0."""
+    x = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    if scaler is None:
+        return x
+    mean, std = scaler[f]
+    return (x - F.lit(float(mean))) / F.lit(float(std)) if std else F.lit(0.0)
+
+
+def linear_score(weights: dict, features, scaler: dict | None = None) -> Column:
+    z = F.lit(float(weights.get("bias", 0.0)))
+    for f in features:
+        z = z + F.lit(float(weights.get(f, 0.0))) * scaled(f, scaler)
+    return z
+
+
+def predict_with_weights(df: DataFrame, weights: dict, features, scaler: dict | None = None) -> DataFrame:
+    """M8 from a table of weights: online_probability and online_prediction."""
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_score(weights, features, scaler)))
+    return df.withColumn("online_probability", p).withColumn("online_prediction", (F.col("online_probability") > 0.5).cast("double"))
+
+
 def predict_failure(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M6: failure_probability and is_failure (class 1 predicted)."""
     out = model.transform(df)

@@ -91,7 +91,7 @@ def plan_chunks(
     def sub_of(frame: DataFrame) -> Column:
         # rows without a time come first in every window, so they are the first sub-bucket
         at = F.floor((order_number(frame, series.order[0]) - F.col("_t0")) / F.col("_w"))
-        return F.when(F.col("_t0").isNotNull(), F.coalesce(F.least(F.col("_nb") - 1, F.when(at.isNotNull(), at)), F.lit(-1).cast("long")))
+        return F.when(F.col("_t0").isNotNull(), F.when(at.isNull(), F.lit(-1).cast("long")).otherwise(F.least(F.col("_nb") - 1, at)))
 
     tagged = df.join(hot, key, "left")
     tagged = tagged.withColumn(SUB, sub_of(tagged)).drop("_nb")

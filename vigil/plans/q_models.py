@@ -110,6 +110,34 @@ SELECT 'bias' AS name, 0.0 - 0.01 * avg(0.5 - y) AS weight FROM y WHERE y IS NOT
     f"FROM y WHERE y IS NOT NULL\n" for f in _M9_FEATS)
 
 
+_Z = {f: f"(coalesce({f}, 0.0) - s.mean_{f}) / s.std_{f}" for f in _M9_FEATS}
+_M8_SQL = f"""WITH readings AS ({v.READINGS_SQL}),
+s AS (SELECT {", ".join(f"avg({f}) AS mean_{f}, stddev_pop({f}) AS std_{f}" for f in _M9_FEATS)} FROM readings),
+z AS (SELECT reading_id, CASE WHEN label = 'failure' THEN 1.0 WHEN label = 'normal' THEN 0.0 END AS y,
+      {", ".join(f"{e} AS z_{f}" for f, e in _Z.items())} FROM readings CROSS JOIN s),
+w1 AS (SELECT 0.0 - 0.1 * avg(0.5 - y) AS b, {", ".join(f"0.0 - 0.1 * avg((0.5 - y) * z_{f}) AS w_{f}" for f in _M9_FEATS)}
+       FROM z WHERE y IS NOT NULL),
+e AS (SELECT z.*, w1.*, 1.0 / (1.0 + exp(-(b + {" + ".join(f"w_{f} * z_{f}" for f in _M9_FEATS)}))) - y AS err FROM z CROSS JOIN w1),
+w2 AS (SELECT any_value(b) - 0.1 * avg(err) AS b2,
+       {", ".join(f"any_value(w_{f}) - 0.1 * (avg(err * z_{f}) + 0.0001 * any_value(w_{f})) AS v_{f}" for f in _M9_FEATS)} FROM e WHERE y IS NOT NULL)
+SELECT reading_id, 1.0 / (1.0 + exp(-(b2 + {" + ".join(f"v_{f} * z_{f}" for f in _M9_FEATS)}))) AS online_probability FROM z CROSS JOIN w2"""
+
+
+@register("m8_online_probability", _M8_SQL, rounded=("online_probability",))
+def m8_online_probability(spark, sf_dir):
+    """Online probability of every reading after two scaled gradient steps over all readings (M9 -> M8)."""
+    from vigil.models.classifiers import predict_with_weights
+    from vigil.streaming.monitor import sgd_step
+
+    r = v.readings(spark, sf_dir).withColumn("y", feat.encode_label("label"))
+    m = cl.fit_scaler(r, _M9_FEATS).first()
+    scaler = {f: (m[f"mean_{f}"], m[f"std_{f}"]) for f in _M9_FEATS}
+    w = {"bias": 0.0, **{f: 0.0 for f in _M9_FEATS}}
+    for _ in range(2):
+        w = sgd_step(r, w, _M9_FEATS, lr=0.1, scaler=scaler)
+    return predict_with_weights(r, w, _M9_FEATS, scaler).select("reading_id", "online_probability")
+
+
 @register("m9_online_step", _M9_SQL, rounded=("weight",))
 def m9_online_step(spark, sf_dir):
     """One online logistic gradient step (learning rate 0.01) from zero weights over all readings."""
