@@ -57,6 +57,26 @@ class Series:
         return F.col(FIRST + c) if self.carry else F.lit(None).cast("double")
 
 
+class Pool(dict):
+    """Window expressions that several features share: each is computed once under its name.
+
+    Builders hand their windows to the pool and get plain column references;
+    the caller selects ``columns()`` first and the features from them.
+    """
+
+    def __call__(self, name: str, expr: Column) -> Column:
+        self.setdefault(name, expr)
+        return F.col(name)
+
+    def columns(self) -> list[Column]:
+        return [expr.alias(name) for name, expr in self.items()]
+
+
+def _own(name: str, expr: Column) -> Column:
+    """Without a pool every feature carries its own windows."""
+    return expr
+
+
 # ---------------------------------------------------------------- fills
 def forward_fill(c: str, s: Series) -> Column:
     """Last non-null value up to this row, else the value carried into the chunk."""
@@ -69,14 +89,26 @@ def back_fill_leading(c: str, s: Series) -> Column:
 
 
 # ---------------------------------------------------------------- rolling
-def rolling(c: str, windows, s: Series) -> list[Column]:
+def _mean(c: str, w: int, s: Series, pool) -> Column:
+    return pool(f"_w_{c}_mean_{w}", F.avg(c).over(s.rows(w)))
+
+
+def _std(c: str, w: int, s: Series, pool) -> Column:
+    return pool(f"_w_{c}_std_{w}", F.stddev_samp(c).over(s.rows(w)))
+
+
+def _lag(c: str, k: int, s: Series, pool) -> Column:
+    return pool(f"_w_{c}_lag_{k}", F.lag(F.col(c), k).over(s.window()))
+
+
+def rolling(c: str, windows, s: Series, pool=_own) -> list[Column]:
     out = []
     for w in windows:
         fr = s.rows(w)
-        mn, mx = F.min(c).over(fr), F.max(c).over(fr)
+        mn, mx = pool(f"_w_{c}_min_{w}", F.min(c).over(fr)), pool(f"_w_{c}_max_{w}", F.max(c).over(fr))
         out += [
-            F.avg(c).over(fr).alias(f"{c}_rolling_mean_{w}"),
-            F.stddev_samp(c).over(fr).alias(f"{c}_rolling_std_{w}"),
+            _mean(c, w, s, pool).alias(f"{c}_rolling_mean_{w}"),
+            _std(c, w, s, pool).alias(f"{c}_rolling_std_{w}"),
             mn.alias(f"{c}_rolling_min_{w}"),
             mx.alias(f"{c}_rolling_max_{w}"),
             (mx - mn).alias(f"{c}_rolling_range_{w}"),
@@ -85,32 +117,30 @@ def rolling(c: str, windows, s: Series) -> list[Column]:
 
 
 # ---------------------------------------------------------------- change
-def pct_change(c: str, s: Series) -> Column:
+def pct_change(c: str, s: Series, pool=_own) -> Column:
     """pandas pct_change (pad first): p/q - 1 over last non-null values, 0 divisor -> NULL."""
-    p = F.coalesce(F.last(F.col(c), ignorenulls=True).over(s.upto()), s.carry_col(c))
-    q = F.coalesce(F.last(F.col(c), ignorenulls=True).over(s.before()), s.carry_col(c))
+    p = F.coalesce(pool(f"_w_{c}_last", F.last(F.col(c), ignorenulls=True).over(s.upto())), s.carry_col(c))
+    q = F.coalesce(pool(f"_w_{c}_before", F.last(F.col(c), ignorenulls=True).over(s.before())), s.carry_col(c))
     return safe_div(p - q, q)
 
 
-def change(c: str, s: Series) -> list[Column]:
-    w = s.window()
+def change(c: str, s: Series, pool=_own) -> list[Column]:
     x = F.col(c)
-    l1, l2 = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
+    l1, l2 = _lag(c, 1, s, pool), _lag(c, 2, s, pool)
     return [
         (x - l1).alias(f"{c}_rate_of_change"),
-        pct_change(c, s).alias(f"{c}_rate_of_change_pct"),
+        pct_change(c, s, pool).alias(f"{c}_rate_of_change_pct"),
         ((x - l1) - (l1 - l2)).alias(f"{c}_acceleration"),
     ]
 
 
 # ---------------------------------------------------------------- spikes
-def z_score(c: str, s: Series, window: int = 10, eps: float = 1e-8) -> Column:
-    fr = s.rows(window)
-    return (F.col(c) - F.avg(c).over(fr)) / (F.stddev_samp(c).over(fr) + F.lit(eps))
+def z_score(c: str, s: Series, window: int = 10, eps: float = 1e-8, pool=_own) -> Column:
+    return (F.col(c) - _mean(c, window, s, pool)) / (_std(c, window, s, pool) + F.lit(eps))
 
 
-def spikes(c: str, s: Series, window: int = 10, eps: float = 1e-8, cut: float = 2.0) -> list[Column]:
-    z = z_score(c, s, window, eps)
+def spikes(c: str, s: Series, window: int = 10, eps: float = 1e-8, cut: float = 2.0, pool=_own) -> list[Column]:
+    z = z_score(c, s, window, eps, pool)
     return [
         z.alias(f"{c}_z_score"),
         bool_int(F.abs(z) > F.lit(cut)).alias(f"{c}_spike"),
@@ -119,9 +149,8 @@ def spikes(c: str, s: Series, window: int = 10, eps: float = 1e-8, cut: float =
 
 
 # ---------------------------------------------------------------- lags
-def lags(c: str, ks, s: Series) -> list[Column]:
-    w = s.window()
-    return [F.lag(F.col(c), k).over(w).alias(f"{c}_lag_{k}") for k in ks]
+def lags(c: str, ks, s: Series, pool=_own) -> list[Column]:
+    return [_lag(c, k, s, pool).alias(f"{c}_lag_{k}") for k in ks]
 
 
 # ---------------------------------------------------------------- interactions
