@@ -80,3 +80,22 @@ def test_burst_inside_one_time_bucket_is_split(spark):
     sizes = x.filter(~F.col(HALO) & (F.col("sensor_id") == "hot")).groupBy(CHUNK).count().collect()
     assert len(sizes) > 5 and max(row["count"] for row in sizes) <= 2 * 150
     _same(feat.all_features(r, chunk_rows=None), feat.all_features(r, chunk_rows=150))
+
+
+def test_chunk_plan_leaves_nothing_persisted(spark):
+    r = spark.range(2000).select(
+        F.col("id").alias("reading_id"), F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") * 60)).cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.format_string("s%d", F.col("id") % 7)).alias("sensor_id"),
+        F.when(F.col("id") % 3 != 0, F.rand(1)).alias("temperature"), F.rand(2).alias("vibration"), F.rand(3).alias("pressure"))
+    r = r.cache()
+    r.count()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    plain = {x["reading_id"]: x.asDict() for x in feat.all_features(r, chunk_rows=None).collect()}
+    cut = {x["reading_id"]: x.asDict() for x in feat.all_features(r, chunk_rows=100).collect()}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert plain.keys() == cut.keys()
+    for k, row in plain.items():
+        for n, a in row.items():
+            b = cut[k][n]
+            assert a == b or (a is not None and b is not None and abs(a - b) <= 1e-9 * max(1.0, abs(a))), (k, n, a, b)
+    r.unpersist()

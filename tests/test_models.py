@@ -84,3 +84,36 @@ def test_auc_frame_matches_evaluator(fixture):
     a = mt.auc_frame(x, "s").first()["auc"]
     b = mt.auc(x, "s")
     assert abs(a - b) < 1e-9
+
+
+@pytest.mark.parametrize("n", [100, 5_000, 25_600, 26_000, 200_000])
+def test_every_isolation_tree_has_its_sample(spark, n):
+    r = spark.range(n).select(F.col("id").alias("reading_id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    m = ifo.fit_isolation_forest(r, ["a", "b"], n_trees=20)
+    roots = m.trees[m.trees["node_id"] == 0]
+    assert len(roots) == 20 and set(roots["size"]) == {min(256, n)}
+
+
+def test_scoring_moves_no_wide_rows(spark, fixture):
+    feats = ["temperature", "vibration", "pressure"]
+    m = ifo.fit_isolation_forest(fixture, feats, n_trees=5)
+    plan = ifo.score_isolation_forest(m, fixture)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "ArrowEvalPython" in plan
+
+
+def test_serving_cleans_like_training(spark):
+    """Gapped and out-of-range rows are scored from the same matrix that training built."""
+    from vigil.operators import clean as cl
+    from vigil.operators import features as feat
+    from vigil.sources import views as v
+
+    from conftest import SF001
+
+    r = v.readings_gaps(spark, SF001).filter("reading_id < 3000")
+    cleaned, stats = cl.fit_cleaning(r)
+    models = pl.Models(pl.feature_set(), None, None, None, (0.0, 0.0), cl.CleaningStats.from_dict(stats.to_dict()))
+    a = {x["reading_id"]: x for x in pl.aligned(feat.all_features(cleaned), models, keep=("reading_id",)).collect()}
+    b = {x["reading_id"]: x for x in pl.aligned(pl.serving_features(r, models), models, keep=("reading_id",)).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k][f] - b[k][f]) <= 1e-9 * max(1.0, abs(a[k][f])) for k in a for f in pl.feature_set())
+    assert a != {x["reading_id"]: x for x in pl.aligned(feat.all_features(r), models, keep=("reading_id",)).collect()}
