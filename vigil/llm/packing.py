@@ -29,7 +29,7 @@ from vigil.llm.tokens import worker_ids
 
 CAPACITY = 4096
 GROUP = 4096
-STEPS = 200_000
+STEPS = 20_000
 FILLINGS = 6
 
 
