@@ -28,6 +28,7 @@ from vigil.llm.common import carried, fold
 
 TRAINING_DOCS = 2500
 ROUNDS = 120
+SLICE = 512
 UPPER = bytes(range(65, 91))
 LETTERS = bytes(range(97, 123)) + UPPER + bytes(range(128, 256))
 DIGITS = b"0123456789"
@@ -175,7 +176,8 @@ def predict(model: dict | None, texts) -> np.ndarray:
     if not len(texts):
         return np.zeros(0)
     a, b = model["curve"]
-    z = a + b * _document_means(model, *features(texts))
+    # texts are independent: slices keep the feature matrix small, whatever the size of a batch
+    z = np.concatenate([a + b * _document_means(model, *features(texts[i:i + SLICE])) for i in range(0, len(texts), SLICE)])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
