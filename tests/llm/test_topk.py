@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.llm import topk
 from vigil.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, norm2 double, query_id long"
@@ -37,3 +38,23 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0, "", 0.0, 0), (1, [0.5], 0, "", 0.0, 0)], SCHEMA)
     assert [tuple(r) for r in top_k(df, F.col("vec_id") == 0).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 512 * 1024)]
     assert top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_tasks_that_read_short_vectors_before_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    # the long vectors' files are smaller than the short ones', so that they are read after them
+    rows = [(i, [float(x) for x in rng.choice([-100, 100], 32)]) for i in range(180)]
+    rows += [(180 + i, [float(np.float32(x)) for x in rng.normal(size=32)]) for i in range(460)]
+    df = spark.createDataFrame([(i, e, 0, "x", 1.0, 1) for i, e in rows], SCHEMA)
+    # many range files, all read by one task
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = top_k(df, F.col("vec_id") % 20 == 0, longest=16).select("query_id", "rank", "vec_id", "score").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == brute(rows, 20, 10)

@@ -4,10 +4,11 @@ Components become floor(scale * x). One pass gives the Gram matrix of all
 vectors, whose eigenvectors (the SVD rotation) gather most of a product in the
 first coordinates. Vectors lie range-partitioned by descending length. The
 longest ones, up to ``HEAD``, are scored first against every query: their k-th
-score is a floor that every later product must reach. Each partition then walks
-its blocks in descending length and drops
+score is a floor that every later product must reach. Each task then walks its
+blocks, which hold vectors of like length, and drops
 
-* a block, and all after it, if |q| * longest length in it is below the floor;
+* a block if |q| * longest length in it is below the floor; files of several
+  length ranges share a task in any order, so later blocks are looked at anew;
 * a vector, if its partial product over the first rotated coordinates plus the
   product of the two residual lengths (Cauchy-Schwarz) is below the floor.
 
@@ -85,7 +86,7 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _scorer(queries, dim: int, rotation: np.ndarray, k: int, first: int):
-    """mapInArrow function over vectors of one partition, in descending length."""
+    """mapInArrow function over vectors of one partition, in any order."""
 
     def run(batches):
         import pyarrow as pa
@@ -97,16 +98,15 @@ def _scorer(queries, dim: int, rotation: np.ndarray, k: int, first: int):
         # k best so far of each query in this partition: scores and ids
         best = [([], []) for _ in ids]
         floor = floor.copy()
-        alive = np.arange(len(ids))
         for b in batches:
             vec, all_rows = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
             for at in range(0, len(vec), BLOCK):
                 names, m = vec[at:at + BLOCK], all_rows[at:at + BLOCK]
                 length = np.sqrt((m * m).sum(1))
                 slack = 1e-6 + 1e-9 * norm * length.max(initial=0.0)
-                alive = alive[norm[alive] * length.max(initial=0.0) + slack[alive] >= floor[alive]]
+                alive = np.nonzero(norm * length.max(initial=0.0) + slack >= floor)[0]
                 if not len(alive):
-                    break
+                    continue
                 rm = m @ rotation
                 m_rest = np.sqrt((rm[:, first:] ** 2).sum(1))
                 bound = rq[alive, :first] @ rm[:, :first].T + np.outer(q_rest[alive], m_rest) + slack[alive, None]
@@ -126,9 +126,6 @@ def _scorer(queries, dim: int, rotation: np.ndarray, k: int, first: int):
                     best[i] = s[order], n[order]
                     if len(order) == k:
                         floor[i] = max(floor[i], float(s[order][-1]))
-            else:
-                continue
-            break
         out = [(ids[i], int(n), int(s)) for i, (ss, ns) in enumerate(best) for s, n in zip(ss, ns)]
         cols = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
