@@ -104,3 +104,13 @@ def test_packing_places_every_piece(spark, odd_docs, no_docs):
         bins[r.sequence_id] = r.offset + r.length
     assert max(bins.values()) <= 256
     assert best_fit_packing(no_docs, JSON).count() == 0
+
+
+def test_large_groups_reach_the_bound():
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = [int(x) for x in rng.integers(500, 1800, 600)]
+        bins = pack(sizes)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) == bound(sizes, 4096) < len(best_fit(sizes, 4096))

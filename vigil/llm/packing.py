@@ -7,7 +7,10 @@ group is packed on its own: best-fit decreasing gives the first incumbent; if
 it needs more sequences than the bound of sizes allows, a depth-first search
 takes the largest piece left, enumerates undominated fillings of the room
 around it, the fullest first, and prunes by the waste that an improvement may
-still have. The search has a budget of steps; the best packing found stays.
+still have. Of equally full ones, that whose smallest piece is largest comes
+first, so that small pieces stay for the last bins. Every bin level of the
+search has its own part of the ``STEPS`` of a group; where one is used up, the
+levels above go on with theirs, and the best packing found stays.
 
 A group's last sequences may be part-filled, so the result exceeds the bound by
 at most about one sequence per ``GROUP`` pieces.
@@ -19,7 +22,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +32,7 @@ from vigil.llm.tokens import worker_ids
 
 CAPACITY = 4096
 GROUP = 4096
-STEPS = 20_000
-FILLINGS = 6
+STEPS = 200_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -71,59 +73,103 @@ class _Search:
     """Bin completion over the multiset of sizes."""
 
     def __init__(self, sizes, capacity, incumbent, least, steps):
-        self.capacity, self.least, self.steps = capacity, least, steps
+        self.capacity, self.least = capacity, least
         self.best, self.total = incumbent, sum(sizes)
         self.values = sorted(set(sizes), reverse=True)
         self.left = {v: 0 for v in self.values}
         for s in sizes:
             self.left[s] += 1
+        self.share = -(-steps // incumbent)
+        self.spent = [0] * incumbent  # steps by bin level
+        self.waste = 0
+        self.ended = False  # a level's steps ran out
         self.answer = None
 
-    def fillings(self, room: int):
-        """Undominated sets of sizes for ``room``, the fullest first."""
-        found, chosen = [], []
-
-        def go(k: int, room: int):
-            self.steps -= 1
-            if self.steps < 0 or len(found) >= 4 * FILLINGS:
-                return
-            k = next((j for j in range(self._first(room, k), len(self.values)) if self.left[self.values[j]]), None)
-            if k is None:
-                if not self._dominated(chosen, room):
-                    found.append((room, tuple(chosen)))
-                return
-            tried = 0
-            for j in range(k, len(self.values)):
-                v = self.values[j]
-                if not self.left[v]:
-                    continue
-                self.left[v] -= 1
-                chosen.append(v)
-                go(j, room - v)
-                chosen.pop()
-                self.left[v] += 1
-                tried += 1
-                if self.steps < 0 or len(found) >= 4 * FILLINGS or tried >= FILLINGS or (found and found[-1][0] == 0):
+    def _over(self, level: int) -> bool:
+        self.spent[level] += 1
+        if self.spent[level] <= self.share:
+            return False
+        self.ended = True
+        return True
+
+    def _allowed(self) -> int:
+        """Waste that the bins still to fill may have in an improvement."""
+        return (self.best - 1) * self.capacity - self.total - self.waste
+
+    def _sums(self, values, room: int) -> list[int]:
+        """By index, the sums up to ``room`` of the sizes from there on, as bits."""
+        bits, mask = 1, (2 << room) - 1
+        out = [bits]
+        for v in reversed(values):
+            n, k = min(self.left[v], room // v), 1
+            while n > 0:
+                take = min(k, n)
+                bits |= bits << take * v & mask
+                n -= take
+                k *= 2
+            out.append(bits)
+        out.reverse()
+        return out
+
+    def fillings(self, room: int, level: int):
+        """Undominated sets of sizes for ``room``, as (size, number) pairs: the fullest first, one at a time, while the waste is allowed."""
+        values = [v for v in reversed(self.values) if self.left[v] and v <= room]
+        sums = self._sums(values, room)
+
+        def choices(k: int, rest: int):
+            """Smallest size in use and its number, the largest size first; each leads to a filling."""
+            for j in range(bisect_right(values, rest) - 1, k - 1, -1):
+                v = values[j]
+                for n in range(1, min(self.left[v], rest // v) + 1):
+                    if sums[j + 1] >> rest - n * v & 1:
+                        yield j, n
+
+        def put(chosen, sign: int):
+            for v, n in chosen:
+                self.left[v] -= sign * n
+
+        target = sums[0].bit_length() - 1
+        while room - target <= self._allowed():
+            chosen, rest = [], target
+            if not target and not self._dominated(chosen, room):
+                yield ()
+            open_ = [choices(0, target)] if target else []
+            while open_:
+                if self._over(level):
+                    put(chosen, -1)
                     return
-
-        go(0, room)
-        return [f for _, f in sorted(set(found), key=lambda x: x[0])[:FILLINGS]]
-
-    def _first(self, room: int, k: int) -> int:
-        """First index from k on whose size fits; sizes descend."""
-        lo, hi = k, len(self.values)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.values[mid] > room:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+                step = next(open_[-1], None)
+                if step is None:
+                    open_.pop()
+                else:
+                    j, n = step
+                    self.left[values[j]] -= n
+                    chosen.append((values[j], n))
+                    rest -= n * values[j]
+                    if rest:
+                        open_.append(choices(j + 1, rest))
+                        continue
+                    if not self._dominated(chosen, room - target):
+                        put(chosen, -1)
+                        sums.clear()  # many levels wait at a time
+                        yield tuple(chosen)
+                        sums += self._sums(values, room)
+                        put(chosen, 1)
+                        if room - target > self._allowed():
+                            put(chosen, -1)
+                            return
+                if chosen:
+                    v, n = chosen.pop()
+                    self.left[v] += n
+                    rest += n * v
+            if not target:
+                return
+            target = (sums[0] & (1 << target) - 1).bit_length() - 1
 
     def _dominated(self, chosen, room: int) -> bool:
-        """One chosen size could give way to a larger one that is left."""
-        for v in set(chosen):
-            for j in range(self._first(v + room, 0), len(self.values)):
+        """A size that is left would go into ``room``, or one chosen size could give way to a larger one that is left."""
+        for v in (0, *(v for v, _ in chosen)):
+            for j in range(bisect_left(self.values, -v - room, key=lambda x: -x), len(self.values)):
                 w = self.values[j]
                 if w <= v:
                     break
@@ -133,47 +179,43 @@ class _Search:
 
     def run(self):
         """Depth first without recursion: a deep stack of bins, each with its untried fillings."""
-        stack, waste = [], 0
+        stack = []
 
         def open_bin():
             top = next((v for v in self.values if self.left[v]), None)
             if top is None:
                 return None
             self.left[top] -= 1
-            return [top, iter(self.fillings(self.capacity - top) or [()]), None, 0]
+            return [top, self.fillings(self.capacity - top, len(stack)), None, 0]
 
         frame = open_bin()
         while frame is not None or stack:
             if frame is None:  # all sizes placed: an improvement, as the prune let it through
-                if len(stack) < self.best:
-                    self.best = len(stack)
-                    self.answer = [(top, *fill) for top, _, fill, _ in stack]
-                if self.best <= self.least or not stack:
+                self.best = len(stack)
+                self.answer = [(top, *(v for v, n in fill for _ in range(n))) for top, _, fill, _ in stack]
+                if self.best <= self.least:
                     return
                 frame = stack.pop()
-                waste -= self._undo(frame)
-            if self.steps < 0:
-                return
-            allowed = (self.best - 1) * self.capacity - self.total
-            fill = next((f for f in frame[1] if waste + self.capacity - frame[0] - sum(f) <= allowed), None)
+                self._undo(frame)
+            fill = next(frame[1], None)
             if fill is None:
                 self.left[frame[0]] += 1
                 if not stack:
                     return
                 frame = stack.pop()
-                waste -= self._undo(frame)
+                self._undo(frame)
                 continue
-            for v in fill:
-                self.left[v] -= 1
-            frame[2], frame[3] = fill, self.capacity - frame[0] - sum(fill)
-            waste += frame[3]
+            for v, n in fill:
+                self.left[v] -= n
+            frame[2], frame[3] = fill, self.capacity - frame[0] - sum(v * n for v, n in fill)
+            self.waste += frame[3]
             stack.append(frame)
             frame = open_bin()
 
-    def _undo(self, frame) -> int:
-        for v in frame[2]:
-            self.left[v] += 1
-        return frame[3]
+    def _undo(self, frame) -> None:
+        self.waste -= frame[3]
+        for v, n in frame[2]:
+            self.left[v] += n
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
