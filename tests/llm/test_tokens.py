@@ -114,3 +114,11 @@ def test_large_groups_reach_the_bound():
         assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in b) <= 4096 for b in bins)
         assert len(bins) == bound(sizes, 4096) < len(best_fit(sizes, 4096))
+
+
+def test_sequences_of_a_thousand_pieces():
+    sizes = [1500] * 2000 + [1] * 2096
+    assert bound(sizes, 4096) < len(best_fit(sizes, 4096))  # so that the search starts
+    bins = pack(sizes)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 4096 for b in bins) and len(bins) == 1000
