@@ -44,6 +44,19 @@ def test_invalid_values_stay():
         assert Pseudonymizer().text(v) == (v, 0), v
 
 
+def test_ibans_before_other_words():
+    there, back = Pseudonymizer(), Pseudonymizer(undo=True)
+    for iban in ["BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"]:
+        plain = there.text(iban.replace(" ", ""))[0]
+        for after in ["", " BIC GKCCBEBB", " BIC", " EUR 5", " 2024", " AND", ". End"]:
+            text, n = there.text(f"IBAN {iban}{after}")
+            assert n == 1 and iban not in text and text.endswith(after), (iban, after)
+            assert text[5:len(text) - len(after)].replace(" ", "") == plain
+            assert back.text(text) == (f"IBAN {iban}{after}", 1)
+    text, n = there.text("BE68 5390 0754 7034 4373 8141 6662 3582")  # a card number follows
+    assert n == 2 and text[20:] == there.text("4373 8141 6662 3582")[0]
+
+
 def test_whole_table(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = pseudonymize(docs)

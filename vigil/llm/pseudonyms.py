@@ -43,6 +43,12 @@ PATTERN = re.compile(
     r"|(?P<nanp>(?<![\w+])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\w))"
 )
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+    "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 "
+    "XK20 YE30").split()}
 _WORTH = re.compile(r"[@0-9]|(?i:token|password|passwd|secret|key)")
 
 
@@ -156,15 +162,37 @@ class Pseudonymizer:
             return self._hex(s, "hex")
         return _written(s, self._kinds("".join(c for c in s if c.isalnum()), "secret"))
 
-    def iban(self, s):
-        plain = s.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _iban_number(plain[4:] + plain[:4]) % 97 != 1:
+    def iban_head(self, s):
+        """The beginning of a match that is a valid number of its country's length, where words follow it; else None."""
+        n, end = IBAN_LENGTHS.get(s[:2], 0), 0
+        while n and end < len(s):
+            n -= s[end].isalnum()
+            end += 1
+        if n or not end or s[end:end + 1] not in ("", " ") or not self._iban_valid(s[:end]):
             return None
+        return s[:end]
+
+    def _iban_valid(self, s) -> bool:
+        plain = s.replace(" ", "")
+        return 15 <= len(plain) <= 34 and _iban_number(plain[4:] + plain[:4]) % 97 == 1
+
+    def _iban_moved(self, s):
+        plain = s.replace(" ", "")
         rest = plain[4:]
         body = self._digits(rest, "iban" + plain[:2]) if rest.isdigit() else self._kinds(rest, "iban" + plain[:2])
         check = 98 - _iban_number(body + plain[:2] + "00") % 97
         return _written(s, plain[:2] + f"{check:02d}" + body)
 
+    def iban(self, s):
+        if self.iban_head(s) == s:
+            return self._iban_moved(s)
+        if not self._iban_valid(s):
+            return None
+        new = self._iban_moved(s)
+        while self.iban_head(new):  # walked on, as it would be read back as a shorter number
+            new = self._iban_moved(new)
+        return new
+
     def ip(self, s):
         octets = [int(o) for o in s.split(".")]
         if max(octets) > 255 or any(len(o) > 1 and o[0] == "0" for o in s.split(".")):
@@ -231,18 +259,20 @@ class Pseudonymizer:
         """The text with pseudonyms, and the number of values replaced."""
         if not text or not _WORTH.search(text):
             return text, 0
-        found = 0
-
-        def replace(m):
-            nonlocal found
+        found, out, at = 0, [], 0
+        m = PATTERN.search(text)
+        while m:
             kind = m.lastgroup
-            new = getattr(self, kind)(m.group(kind))
-            if new is None:
-                return m.group()
-            found += 1
-            return (m.group("name") or "") + new if kind == "secret" else new
-
-        return PATTERN.sub(replace, text), found
+            value, end = m.group(kind), m.end()
+            if kind == "iban" and (head := self.iban_head(value)):
+                value, end = head, m.start() + len(head)
+            new = getattr(self, kind)(value)
+            if new is not None:
+                found += 1
+                out += [text[at:m.start()], m.group("name") or "" if kind == "secret" else "", new]
+                at = end
+            m = PATTERN.search(text, end)
+        return "".join(out) + text[at:], found
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
