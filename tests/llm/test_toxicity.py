@@ -32,6 +32,16 @@ def test_obfuscated_words_score_like_plain_ones(spark):
     assert min(got[i] for i in range(4)) > 0.5 > got[4]
 
 
+def test_signs_at_the_end_and_words_over_white_space(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = train(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    head, tail = "reading about ", " gather ending there."
+    texts = ["idi07 mor0n 1053r", "i  d  i  o  t  reading l  o  s  e  r", "i\nd\ni\no\nt reading l\no\ns\ne\nr", "id iot reading los er"]
+    rows = [(i, head + t + tail) for i, t in enumerate(texts)] + [(9, head + tail)]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert min(got[i] for i in range(4)) > 0.5 > got[9], got
+
+
 def test_odd_documents(spark, odd_docs, no_docs, odd_labels, no_labels):
     model = train(odd_docs, odd_labels)
     got = score(odd_docs, model).collect()

@@ -1,9 +1,11 @@
 """Toxicity after noisy-channel deobfuscation (op7).
 
 Channel: letters may be written as digits or signs (leetspeak), set apart by
-spaces or marks, and repeated. A suspicious stretch - letters mixed with such
-signs, a run of single characters, or a letter three times in a row - becomes a
-lattice of readings per character, each with a channel cost; Viterbi finds the
+spaces or marks, and repeated. A suspicious stretch - a token with such a sign
+or with marks between letters, a run of two or more single characters or of two
+or more tokens of at most three over any white space, or a letter three times in
+a row - becomes a lattice of readings per character, each with a channel cost
+(white space counts as one blank); Viterbi finds the
 reading that is most likely under a character trigram model counted over all
 documents. The restored words join the text's own words.
 
@@ -43,9 +45,11 @@ GAPS = " \t\n\r\x0b\x0c.-_*~'`^,:/"
 COST_LEET, COST_GAP, COST_BREAK, COST_REPEAT, COST_KEPT = 1.0, 0.3, 2.5, 0.3, 6.0
 #: Character classes: 0 no letter, 1 other letter, 2-27 a to z, 28 on the letters of U+00DF to U+00FF.
 N_CLASSES = 61
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥*._\-~'`^]+[^\W\d_]|[0-9@$!|+(<€£¥][^\W\d_]")
+_MIXED = re.compile(r"[^\W\d_][._\-*~'`^,:/]+[^\W\d_]")
+_SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S))+")
+_SPLIT = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3}(?!\S))+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -163,7 +167,7 @@ def restore(text: str, lm: np.ndarray) -> str:
 
 
 def _suspicious(word: str) -> bool:
-    return bool(_MIXED.search(word) or _REPEAT.search(word))
+    return bool(_SIGN.search(word) or _MIXED.search(word) or _REPEAT.search(word))
 
 
 class Reader:
@@ -190,10 +194,21 @@ class Reader:
         out: set = set()
         for t in set(text.split()):
             out.update(self.token(t))
-        for m in _SPACED.finditer(text):
-            out.update(w for w in restore(m.group(), self.lm).split() if len(w) > 2)
+        runs = {" ".join(m.group().split()) for p in (_SPACED, _SPLIT) for m in p.finditer(text)}
+        for t in runs:
+            out.update(self.run(t))
         return out
 
+    def run(self, run: str) -> tuple:
+        """Restored words of a run of short tokens, set apart by blanks."""
+        got = self.known.get(run)
+        if got is None:
+            got = tuple({w for w in restore(run, self.lm).split() if len(w) > 2})
+            if len(self.known) >= CACHED_WORDS:
+                self.known.clear()
+            self.known[run] = got
+        return got
+
 
 def parts(word: str) -> list[str]:
     """A word and its beginnings, the most particular first."""
