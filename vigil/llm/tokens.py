@@ -15,14 +15,14 @@ _TAIL = b".,;:!?*$%&#"
 _SAMPLES = ("the", "Überraschung", "señora", "çà", "xqzvw", "a", "thandeingly", "ærøÿß")
 
 
-def _byte_signs() -> dict[int, str]:
+def byte_signs() -> dict[int, str]:
     """The published byte-level alphabet: printable bytes stand for themselves, the others follow U+0100."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_BYTE_SIGNS = _byte_signs()
+_BYTE_SIGNS = byte_signs()
 
 
 class WordIds(dict):
