@@ -59,7 +59,7 @@ def test_automaton_is_minimal(tmp_path):
 
 def test_empty_lexicon(tmp_path, text, library):
     saved(compiled([]), str(tmp_path / "e"))
-    ids, size = Encoder(text, str(tmp_path / "e")).encode(["Hello there,  you", None, ""])
+    ids, size = Encoder(Vocabulary(text), str(tmp_path / "e")).encode(["Hello there,  you", None, ""])
     assert ids.tolist() == library.encode("Hello there,  you", add_special_tokens=False).ids and size.tolist() == [len(ids), 0, 0]
 
 
@@ -74,7 +74,7 @@ def test_odd_texts_equal_the_library(tmp_path, text, library):
     vocabulary, rng = Vocabulary(text), random.Random(5)
     words = [" the", " a", " b", " don", " '", " \U0001f600", " x"]
     saved(compiled([(w.encode(), tuple(vocabulary.ids(w))) for w in words]), str(tmp_path / "l"))
-    encoder = Encoder(text, str(tmp_path / "l"))
+    encoder = Encoder(vocabulary, str(tmp_path / "l"))
     odd = ["", None, " ", "  ", "a  b", "a \n b", "x \t\n y ", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "don't I'll 'S 12 ...é ß",
            "a\x1c b \x1c\x1d c", "  a  b  c", "z" * 5000, "ab" * 3000 + " " * 3000 + "x", "日本語 \U0001f600\U0001f600 ա՘ա ౜"]
     odd += ["".join(rng.choice("ab'st ré \n\t1,.\x1c\x85 日Σ😀") for _ in range(rng.randint(0, 60))) for _ in range(3000)]

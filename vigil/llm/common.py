@@ -13,6 +13,59 @@ from vigil.session import ensure_checkpoint_dir, ship_package
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of remembered values that one Python worker keeps, whatever it works on.
+WORKER_BYTES = 32 << 20
+#: Bytes of rows that Spark sends a Python worker at once; texts differ a thousandfold in length.
+BATCH_BYTES = 8 << 20
+#: What a dict entry of two small objects takes beside their content.
+_ENTRY_BYTES = 180
+
+
+class Remembered(dict):
+    """A worker's table of values worked out once, up to a number of bytes.
+
+    Frequent keys are met early; a full table serves them and works out the rest
+    anew.
+    """
+
+    def __init__(self, most: int = WORKER_BYTES):
+        super().__init__()
+        self.left = most
+
+    def put(self, key, value, size: int) -> None:
+        if self.left > 0:
+            self[key] = value
+            self.left -= size + _ENTRY_BYTES
+
+
+_HELD: dict = {}
+
+
+def held(operator: str, kind: str, key, make):
+    """What this worker keeps between batches and tasks: one thing of each kind, of one operator.
+
+    Spark hands a worker from stage to stage; what an earlier operator kept
+    goes when another asks.
+    """
+    if _HELD.get("operator") != operator:
+        _HELD.clear()
+        _HELD["operator"] = operator
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD[kind] = (key, make())
+    return _HELD[kind][1]
+
+
+class WordHashes(Remembered):
+    """word (bytes) -> 64-bit hash."""
+
+    def __missing__(self, word):
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word)
+        self.put(word, h, len(word))
+        return h
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,8 +83,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Python stages of the operators import vigil on the executors."""
+    """Python stages of the operators import vigil on the executors, and get their rows in bounded batches."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

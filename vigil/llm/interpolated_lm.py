@@ -30,34 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import fold, store
+from vigil.llm.common import WordHashes, fold, held, store
 
 BLOCK_TOKENS = 1_000_000
 RANGE_KEYS = 1_500_000
 BUCKETS = 24
 #: Cells of the held-out histogram: log-ratio steps of 0.1 natural units, 0 for "not seen".
 STEP, CELLS = 0.1, 256
-CACHED_WORDS = 600_000
 END = 0x9E3779B97F4A7C15
 BLOCK = ("block long, held boolean, rows array<struct<doc_id:long,held_out:boolean,n:long>>, vocabulary binary, places binary, "
          "tokens long, n_keys long")
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; bounded."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORKER = _Hashes()
-
-
 def _zip(a: np.ndarray) -> bytes:
     import zstandard
 
@@ -101,6 +85,7 @@ def blocks(docs: DataFrame, held_parts: int = 10) -> DataFrame:
         schema = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("rows", pa.list_(kind)), ("vocabulary", pa.binary()), ("places", pa.binary()),
                             ("tokens", pa.int64()), ("n_keys", pa.int64())])
         part, made = TaskContext.get().partitionId(), 0
+        hashes = held("words", "hashes", None, WordHashes)
         open_ = {False: ([], [], 0), True: ([], [], 0)}
 
         def flush(held):
@@ -118,7 +103,7 @@ def blocks(docs: DataFrame, held_parts: int = 10) -> DataFrame:
             for doc, text, f in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("fold").to_pylist()):
                 words = (text or b"").lower().split()
                 h = np.empty(len(words) + 1, dtype=np.uint64)
-                h[:-1] = np.fromiter(map(_WORKER.__getitem__, words), dtype=np.uint64, count=len(words))
+                h[:-1] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
                 h[-1] = END
                 held = f == 1  # the fold whose counts are held out while the weights are learned
                 d, a, size = open_[held]

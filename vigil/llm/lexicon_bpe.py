@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import Remembered, held
 from vigil.llm.tokens import byte_signs
 
 #: Most frequent words in the lexicon, and the longest of them in bytes.
@@ -234,11 +235,10 @@ class _Codes(dict):
 
 
 class Encoder:
-    def __init__(self, tokenizer_json: str, lexicon_path: str):
-        self.vocabulary = Vocabulary(tokenizer_json)
+    def __init__(self, vocabulary: Vocabulary, lexicon_path: str):
+        self.vocabulary = vocabulary
         self.lexicon = Lexicon(lexicon_path)
-        self._seen: dict[bytes, list[int]] = {}
-        self._left = REMEMBERED_BYTES
+        self._seen = Remembered(REMEMBERED_BYTES)
 
     def _pieces(self, text: str) -> list:
         mark = self.vocabulary.mark
@@ -270,9 +270,8 @@ class Encoder:
                 end += n
                 continue
             ids_of[p] = merged = self.vocabulary.merged(p)
-            if len(p) <= LEXICON_BYTES and self._left > 0:
-                seen[p] = merged
-                self._left -= 2 * len(p) + 8 * len(merged) + 200
+            if len(p) <= LEXICON_BYTES:
+                seen.put(p, merged, len(p) + 8 * len(merged))
         out, sizes = [], []
         for ps in parts:
             before = len(out)
@@ -322,17 +321,15 @@ def slices(texts, most: int = SLICE_CHARS):
         yield first, len(texts)
 
 
-_WORKER: dict[tuple, Encoder] = {}
+def _worker_vocabulary(tokenizer_json: str) -> Vocabulary:
+    return held("lexicon", "vocabulary", hash(tokenizer_json), lambda: Vocabulary(tokenizer_json))
 
 
 def _worker_encoder(tokenizer_json: str, name: str) -> Encoder:
     from pyspark import SparkFiles
 
-    key = (hash(tokenizer_json), name)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(tokenizer_json, SparkFiles.get(name))
-    return _WORKER[key]
+    vocabulary = _worker_vocabulary(tokenizer_json)
+    return held("lexicon", "encoder", (hash(tokenizer_json), name), lambda: Encoder(vocabulary, SparkFiles.get(name)))
 
 
 # ------------------------------------------------------------------ Spark
@@ -343,6 +340,9 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
     return counts.orderBy(F.desc("count"), "word").limit(most).select(F.concat(F.lit(" "), "word").alias("word"), F.col("count").alias("n"))
 
 
+_ADDED: set = set()
+
+
 def lexicon(docs: DataFrame, tokenizer_json: str, text: str = "text", most: int = LEXICON_WORDS) -> str:
     """Compile the corpus's frequent words; the name of the file that every executor gets."""
     import hashlib
@@ -352,17 +352,19 @@ def lexicon(docs: DataFrame, tokenizer_json: str, text: str = "text", most: int
     def merge(batches):
         import pyarrow as pa
 
-        vocabulary = Vocabulary(tokenizer_json)
+        vocabulary = _worker_vocabulary(tokenizer_json)
         for b in batches:
             words = b.column("word").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array([vocabulary.ids(w) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
 
     rows = frequent_words(docs, text, most).repartition(8).mapInArrow(merge, "word binary, ids array<int>").toArrow()
     entries = sorted(zip(rows.column("word").to_pylist(), map(tuple, rows.column("ids").to_pylist())))
-    name = f"vigil-lexicon-{hashlib.sha256(repr((entries, hash(tokenizer_json))).encode()).hexdigest()[:24]}"
-    path = os.path.join(tempfile.mkdtemp(prefix="vigil-lexicon-"), name)
-    saved(compiled(entries), path)
-    spark.sparkContext.addFile(path)  # the driver hands it to executors, those that join later too
+    name = f"vigil-lexicon-{hashlib.sha256(repr(entries).encode()).hexdigest()[:24]}"
+    if (spark.sparkContext.applicationId, name) not in _ADDED:  # a name stands for its content
+        path = os.path.join(tempfile.mkdtemp(prefix="vigil-lexicon-"), name)
+        saved(compiled(entries), path)
+        spark.sparkContext.addFile(path)  # the driver hands it to executors, those that join later too
+        _ADDED.add((spark.sparkContext.applicationId, name))
     return name
 
 
@@ -392,7 +394,7 @@ def decoded(rows: DataFrame, tokenizer_json: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        of = Vocabulary(tokenizer_json).bytes_of.__getitem__
+        of = _worker_vocabulary(tokenizer_json).bytes_of.__getitem__
         for b in batches:
             column = b.column("ids")
             for first in range(0, b.num_rows, 512):

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import carried, store
+from vigil.llm.common import WordHashes, carried, held, store
 from vigil.llm.graph import components
 
 WORDS = 5
@@ -40,27 +40,15 @@ PERCENT = 80
 MOST_SHARED = 8
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
+#: Tasks whose counters meet in one group.
+SKETCH_TASKS = 64
+#: Partners that one copy of a set is compared with.
+HUB_PARTNERS = 256
 #: Vertices whose ids are broadcast to read their texts again; beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
-CACHED_WORDS = 600_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; bounded."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORKER = _Hashes()
-
-
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than a shingle are one shingle."""
     w = (text or b"").lower().split()
@@ -70,7 +58,8 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
         import xxhash
 
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=words)], dtype=np.uint64)
-    h = np.fromiter(map(_WORKER.__getitem__, w), dtype=np.uint64, count=len(w))
+    hashes = held("words", "hashes", None, WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
     n = len(h) - words + 1
     s = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -100,6 +89,7 @@ def frequency_sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     def count(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         total = np.zeros(1 << SKETCH_BITS, dtype="<i8")
         for b in batches:
@@ -112,8 +102,10 @@ def frequency_sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                     held, n = [], 0
             if held:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
+        task = TaskContext.get().partitionId()
         parts = [total[p * size:(p + 1) * size].tobytes() for p in range(SKETCH_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([task] * SKETCH_PARTS, pa.int32()), pa.array(parts, pa.binary())],
+                                         ["part", "task", "counts"])
 
     def add(pdf):
         import pandas as pd
@@ -121,12 +113,17 @@ def frequency_sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         total = np.zeros(size, dtype="<i8")
         for c in pdf["counts"]:
             total += np.frombuffer(c, "<i8")
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "task": pdf["task"].iloc[:1] // SKETCH_TASKS, "counts": [total.tobytes()]})
+
+    kind = "part int, task int, counts binary"
+    rows = docs.select("text").mapInArrow(count, kind)
+    while True:  # SKETCH_TASKS counters are added up at a time, however many tasks there are
+        rows = store(rows.groupBy("part", F.expr(f"task div {SKETCH_TASKS}")).applyInPandas(add, kind), "sketch")
+        if not rows.agg(F.max("task")).first()[0]:
+            break
     out = np.zeros((SKETCH_PARTS, size), dtype=np.int64)
     for r in rows.collect():  # SKETCH_PARTS rows, 8 MB in all
-        out[r[0]] = np.frombuffer(r[1], "<i8")
+        out[r[0]] = np.frombuffer(r[2], "<i8")
     return out.ravel()
 
 
@@ -208,21 +205,37 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
 
     tokens = texts.mapInArrow(sets, "sig1 long, sig2 long, tokens binary").dropDuplicates(["sig1", "sig2"])
     tokens = store(tokens.join(ends.select("v", "sig1", "sig2"), ["sig1", "sig2"]).select("v", "tokens"), "sets")
-    both = pairs.join(tokens.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = both.join(tokens.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a")
+    # the end with more pairs is the hub: its set goes once to every HUB_PARTNERS of its partners, theirs once to each hub
+    met = store(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("met")), "met")
+    sized = pairs.join(met.select(F.col("v").alias("a"), F.col("met").alias("met_a")), "a").join(met.select(F.col("v").alias("b"), F.col("met").alias("met_b")), "b")
+    first = F.col("met_a") >= F.col("met_b")
+    sized = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"),
+                         F.greatest("met_a", "met_b").alias("met"), "a", "b")
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("v"), F.ceil(F.col("met") / HUB_PARTNERS)))
+    partners = sized.join(tokens, "v").select("hub", "chunk", "v", "a", "b", "tokens")
+    hubs = sized.select("hub", "chunk").distinct().join(tokens.withColumnRenamed("v", "hub"), "hub")
+    none = F.lit(None).cast("long")
+    both = partners.unionByName(hubs.select("hub", "chunk", none.alias("v"), none.alias("a"), none.alias("b"), "tokens"))
+    both = both.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("v").asc_nulls_first())
 
     def check(batches):
         import pyarrow as pa
 
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ta"), b.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
-
-    return store(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, linked boolean"), "verified")
+        hub = None
+        for batch in batches:
+            a, b, linked = [], [], []
+            for x, y, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tokens")):
+                t = np.frombuffer(t.as_buffer(), np.uint64)
+                if x is None:  # the hub's own row comes before its partners'
+                    hub = t.copy()
+                    continue
+                n = len(np.intersect1d(hub, t, assume_unique=True))
+                a.append(x)
+                b.append(y)
+                linked.append(100 * n >= percent * (len(hub) + len(t) - n))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    return store(both.select("a", "b", "tokens").mapInArrow(check, "a long, b long, linked boolean"), "verified")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

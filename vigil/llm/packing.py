@@ -23,6 +23,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,19 +55,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def bound(sizes: list[int], capacity: int) -> int:
-    """Least number of bins: the sum, and pieces above a half with what can't join them."""
-    total = -(-sum(sizes) // capacity)
+    """Least number of bins: the sum, and pieces above a half with what can't join them, over all thresholds.
+
+    With pieces below a threshold t left out, pieces above capacity - t stand
+    alone, and the others above a half offer what room they leave to the rest.
+    """
     ordered = sorted(sizes)
-    best, big = total, [s for s in ordered if 2 * s > capacity]
-    for t in {s for s in ordered if 2 * s <= capacity}:
-        alone = sum(1 for s in big if s > capacity - t)
-        paired = [s for s in big if s <= capacity - t]
-        rest = sum(s for s in ordered if t <= s and 2 * s <= capacity)
-        more = rest - (len(paired) * capacity - sum(paired))
-        best = max(best, alone + len(paired) + max(0, -(-more // capacity)))
-        if len(ordered) > 512:  # one threshold is enough where small pieces fill every gap
-            break
-    return best
+    sums = [0, *accumulate(ordered)]
+    half = bisect_right(ordered, capacity // 2)  # pieces from here on are above a half
+    best = -(-sums[-1] // capacity)
+    for at in range(half):
+        t = ordered[at]
+        if at and t == ordered[at - 1]:
+            continue
+        alone = bisect_right(ordered, capacity - t, half)
+        room = (alone - half) * capacity - (sums[alone] - sums[half])
+        best = max(best, len(ordered) - half + max(0, -(-(sums[half] - sums[at] - room) // capacity)))
+    return max(best, len(ordered) - half)
 
 
 class _Search:

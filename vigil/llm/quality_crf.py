@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     picked = picked.filter("_id is not null and _label in (0, 1)").filter(fold("_id", 5) != 0)
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"))
-    rows = rows.join(F.broadcast(picked), "_id").select("_id", "_label", "_text")
+    # rows of one id are one document here: the bound on labels bounds what is fitted on
+    rows = rows.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
 
     def measure(batches):
         import pyarrow as pa
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 [b.column("_id"), b.column("_label"), pa.array(xs, pa.list_(pa.float64())), pa.array(ls, pa.list_(pa.float64()))],
                 ["_id", "_label", "x", "lengths"])
 
-    got = rows.mapInArrow(measure, "_id long, _label int, x array<double>, lengths array<double>").limit(2 * most).collect()
+    got = rows.mapInArrow(measure, "_id long, _label int, x array<double>, lengths array<double>").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1], len(r[3]), r[2]))

@@ -10,7 +10,9 @@ little-endian, 2 bytes each if the vocabulary fits, else 4. The folder
 its chunk's index and one frame.
 
 The dictionary is trained on the id arrays of at most ``SAMPLE`` documents
-(smallest hashes of their ids); all documents are written with it.
+(smallest hashes of their ids): on whole arrays cut into ``SLICE_BYTES``, or, of
+longer ones, on ``SLICES`` slices spread evenly from begin to end. All documents
+are written with it.
 
 Defined cases: null or empty text is the end id alone; a null doc_id comes
 first; equal ids stand in the order of a hash of their texts; an empty table
@@ -29,7 +31,8 @@ from vigil.llm.common import shuffle_partitions
 from vigil.llm.tokens import worker_ids
 
 SAMPLE = 1000
-SAMPLE_BYTES = 16384
+#: Of a sampled document, so many evenly spread slices of so many bytes at most; a shorter one is taken whole.
+SLICES, SLICE_BYTES = 16, 1024
 DICTIONARY_BYTES = 65536
 CHUNK_DOCS = 1024
 CHUNK_BYTES = 4 << 20
@@ -43,6 +46,14 @@ def _packed(ids: bytes, id_bytes: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype(f"<u{id_bytes}").tobytes()
 
 
+def _evenly(size: int) -> list[int]:
+    """Where the slices of an array of ``size`` bytes begin: all of it, or SLICES spread from its begin to its end."""
+    n = -(-size // SLICE_BYTES)
+    if n <= SLICES:
+        return [k * SLICE_BYTES for k in range(n)]
+    return [(size - SLICE_BYTES) * k // (SLICES - 1) // 4 * 4 for k in range(SLICES)]
+
+
 def train(docs: DataFrame, vocabulary, end_id: int, id_bytes: int) -> bytes:
     """zstandard dictionary from a bounded sample; empty if there is nothing to learn from."""
     import zstandard
@@ -56,10 +67,13 @@ def train(docs: DataFrame, vocabulary, end_id: int, id_bytes: int) -> bytes:
         words = worker_ids(vocabulary.value)
         end = end_id.to_bytes(4, "little")
         for b in batches:
-            out = [_packed(words.text(t) + end, id_bytes)[:SAMPLE_BYTES] for t in b.column("text").to_pylist()]
+            arrays = [_packed(words.text(t) + end, id_bytes) for t in b.column("text").to_pylist()]
+            out = [a[at:at + SLICE_BYTES] for a in arrays for at in _evenly(len(a))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    samples = [bytes(r[0]) for r in picked.select("text").mapInArrow(arrays, "ids binary").limit(2 * SAMPLE).collect()]
+    # texts that share an id are one document here, so that SAMPLE bounds what comes to the driver
+    texts = picked.groupBy("doc_id").agg(F.max("text").alias("text")).select("text")
+    samples = sorted(bytes(r[0]) for r in texts.mapInArrow(arrays, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import struct
 
-#: Words that a worker remembers.
-CACHED_WORDS = 1_000_000
+from vigil.llm.common import Remembered, held
+
 _TAIL = b".,;:!?*$%&#"
 _SAMPLES = ("the", "Überraschung", "señora", "çà", "xqzvw", "a", "thandeingly", "ærøÿß")
 
@@ -25,7 +25,7 @@ def byte_signs() -> dict[int, str]:
 _BYTE_SIGNS = byte_signs()
 
 
-class WordIds(dict):
+class WordIds(Remembered):
     """word (bytes) -> ids as bytes; fills itself."""
 
     def __init__(self, tokenizer_json: str):
@@ -58,8 +58,7 @@ class WordIds(dict):
             ids = self[core] + self[word[len(core):]]
         else:
             ids = self._encode(word)
-        if len(self) < CACHED_WORDS:  # frequent words are met early; a full table serves them and works out the rest anew
-            self[word] = ids
+        self.put(word, ids, len(word) + len(ids))
         return ids
 
     def text(self, text: bytes | None) -> bytes:
@@ -69,16 +68,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-_WORKER: dict[int, WordIds] = {}
-
-
 def worker_ids(tokenizer_json: str) -> WordIds:
-    """The worker's table for this vocabulary; it lives as long as the worker."""
-    key = hash(tokenizer_json)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = WordIds(tokenizer_json)
-    return _WORKER[key]
+    """The worker's table for this vocabulary."""
+    return held("tokens", "words", hash(tokenizer_json), lambda: WordIds(tokenizer_json))
 
 
 def read_vocabulary(path: str) -> str:

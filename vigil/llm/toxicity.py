@@ -3,8 +3,9 @@
 Channel: letters may be written as digits or signs (leetspeak), set apart by
 spaces or marks, and repeated. A suspicious stretch - a token with such a sign
 or with marks between letters, a run of two or more single characters or of two
-or more tokens of at most three over any white space, or a letter three times in
-a row - becomes a lattice of readings per character, each with a channel cost
+or more tokens of at most three over any white space, a letter three times in a
+row, or two longer tokens that together begin like a weighted word - becomes a
+lattice of readings per character, each with a channel cost
 (white space counts as one blank); Viterbi finds the
 reading that is most likely under a character trigram model counted over all
 documents. The restored words join the text's own words.
@@ -20,24 +21,24 @@ the character model counts every document, and every text is scored whole.
 Defined cases: null or empty text has no words and scores as such; ids without
 a document or a label are not used; no label at all, or labels of one kind,
 give 0.5, or near that kind, to every document; an empty table gives no rows;
-further columns pass through untouched.
+further columns pass through untouched, but for
+one named like the score, which is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import fold
+from vigil.llm.common import WORKER_BYTES, Remembered, fold, held, store
 
 TRAINING_DOCS = 20000
 LEAST_DOCS = 3
-MOST_WEIGHTS = 4000
-CACHED_WORDS = 400_000
 #: What a sign may stand for, and its channel cost.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
@@ -170,72 +171,136 @@ def _suspicious(word: str) -> bool:
     return bool(_SIGN.search(word) or _MIXED.search(word) or _REPEAT.search(word))
 
 
+def _restored(stretch: str, lm: np.ndarray) -> list[str]:
+    return [w for w in restore(stretch, lm).split() if len(w) > 2]
+
+
+def _token_words(token: str, lm: np.ndarray, worth=lambda stretch: True) -> set[str]:
+    words = _LETTERS.findall(token)
+    if _suspicious(token) and worth(token):
+        words += _restored(token, lm)
+    return {w for w in words if len(w) > 1}
+
+
+def _runs(text: str) -> set[str]:
+    """Runs of short tokens, set apart by blanks."""
+    return {" ".join(m.group().split()) for p in (_SPACED, _SPLIT) for m in p.finditer(text)}
+
+
 class Reader:
-    """Words of texts, with their restored readings; remembers what a bounded number of tokens gave."""
+    """All words of texts, with the restored readings of what is suspicious; remembers what tokens gave."""
 
     def __init__(self, lm: np.ndarray):
         self.lm = lm
-        self.known: dict[str, tuple] = {}
+        self.known = Remembered()
 
-    def token(self, token: str) -> tuple:
+    def token(self, token: str) -> set[str]:
         got = self.known.get(token)
         if got is None:
-            words = _LETTERS.findall(token)
-            if _suspicious(token):
-                words += [w for w in restore(token, self.lm).split() if len(w) > 2]
-            got = tuple({w for w in words if len(w) > 1})
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[token] = got
+            got = _token_words(token, self.lm)
+            self.known.put(token, got, 300 + 60 * len(token))
         return got
 
-    def words(self, text: str | None) -> set:
+    def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
-        out: set = set()
+        out: set[str] = set()
         for t in set(text.split()):
-            out.update(self.token(t))
-        runs = {" ".join(m.group().split()) for p in (_SPACED, _SPLIT) for m in p.finditer(text)}
-        for t in runs:
-            out.update(self.run(t))
+            out |= self.token(t)
+        for r in _runs(text):
+            out.update(_restored(r, self.lm))
         return out
 
-    def run(self, run: str) -> tuple:
-        """Restored words of a run of short tokens, set apart by blanks."""
-        got = self.known.get(run)
-        if got is None:
-            got = tuple({w for w in restore(run, self.lm).split() if len(w) > 2})
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[run] = got
-        return got
-
 
 def parts(word: str) -> list[str]:
     """A word and its beginnings, the most particular first."""
     return ["=" + word] + [word[:k] for k in (8, 7, 6, 5, 4) if len(word) >= k]
 
 
-class Weights:
-    """Log-odds by word or beginning; remembers a bounded number of words."""
+_DROPPED = re.compile(r"[!|+(<]")
+_TWICE = re.compile(r"(.)\1+")
+_PLAIN = str.maketrans({**{sign: letters[0].replace("l", "i") for sign, letters in LEET.items()}, "l": "i"})
+
+
+def skeleton(stretch: str) -> str:
+    """Letters a stretch may be read as, one for all readings of a sign, each said once however often it stands there."""
+    return _TWICE.sub(r"\1", "".join(filter(str.isalpha, stretch.translate(_PLAIN))))
+
+
+class Scorer:
+    """Weighted words of texts, read as ``Reader`` reads them, but for stretches that can't hold a weighted word.
+
+    A letter is only left out where it stands beside itself, and a sign that
+    stands for a letter is read as one of them or ends a word. So what a stretch
+    reads as holds a weighted part only if its skeleton holds the part's, and
+    other stretches need no decoding. Signs that may also be gaps always do.
+
+    Two neighbouring tokens, one of them longer than a run's, are read together
+    where a weighted part begins in the first and goes on in the second.
+    """
 
-    def __init__(self, weights: dict):
-        self.weights = weights
-        self.known: dict[str, float] = {}
+    def __init__(self, lm: np.ndarray, weights: dict[str, float]):
+        import ahocorasick
 
-    def word(self, word: str) -> float:
-        got = self.known.get(word)
+        self.lm, self.weights = lm, weights
+        self.clean: set[str] = set()  # tokens without a weighted word
+        self.left = WORKER_BYTES * 3 // 4
+        self.hits = Remembered(WORKER_BYTES // 4)
+        self.heads = {p[:4] for p in (w.removeprefix("=") for w in weights) if len(p) >= 4}
+        self.parts = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in weights:
+            self.parts.add_word(skeleton(p))
+        self.parts.make_automaton()
+
+    def worth(self, stretch: str) -> bool:
+        """False if no reading of the stretch has a weighted word."""
+        if not self.weights:
+            return False
+        return bool(_DROPPED.search(stretch)) or next(self.parts.iter(skeleton(stretch)), None) is not None
+
+    def weight(self, word: str) -> float:
+        return next((self.weights[p] for p in parts(word) if p in self.weights), 0.0)
+
+    def _weighted(self, words) -> dict[str, float]:
+        return {w: x for w, x in ((w, self.weight(w)) for w in words) if x > 0}
+
+    def token(self, token: str) -> dict[str, float]:
+        got = self.hits.get(token)
         if got is None:
-            got = next((self.weights[p] for p in parts(word) if p in self.weights), 0.0)
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = got
+            got = self._weighted(_token_words(token, self.lm, self.worth))
+            if got:
+                self.hits.put(token, got, 200 + 80 * len(got) + len(token))
+            elif self.left > 0:
+                self.clean.add(token)
+                self.left -= 110 + len(token)
         return got
 
-    def summary(self, words) -> tuple[float, float, float]:
+    def _cut_words(self, tokens: list[str]) -> set[str]:
+        """Neighbouring tokens whose letters together begin like a weighted part that neither has alone."""
+        out = set()
+        for a, b in zip(tokens, tokens[1:]):
+            if (a + b)[:4] in self.heads and (len(a) > 3 or len(b) > 3) and a.isalpha():
+                rest = _LETTERS.match(b)
+                if rest and any(p in self.weights for p in parts(a + rest.group()) if len(p) > len(a)):
+                    out.add(f"{a} {rest.group()}")
+        return out
+
+    def words(self, text: str | None) -> dict[str, float]:
+        text = (text or "").lower()
+        tokens = text.split()
+        out: dict[str, float] = {}
+        for t in set(tokens) - self.clean:
+            out.update(self.token(t))
+        for r in _runs(text):
+            if self.worth(r):
+                out.update(self._weighted(_restored(r, self.lm)))
+        for r in self._cut_words(tokens):
+            out.update(self._weighted(_restored(r, self.lm)))
+        return out
+
+    def summary(self, text: str | None) -> list[float]:
         """Strongest word, mean of the three strongest, log of the number of strong ones."""
-        top = sorted((w for w in map(self.word, words) if w > 0), reverse=True)
-        strong = sum(1 for w in top if w > 2)
-        return (top[0] if top else 0.0, sum(top[:3]) / 3, math.log1p(strong))
+        top = sorted(self.words(text).values(), reverse=True)
+        return [top[0] if top else 0.0, sum(top[:3]) / 3, math.log1p(sum(1 for w in top if w > 2))]
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -255,7 +320,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     picked = picked.filter("_id is not null and _label in (0, 1)").filter(fold("_id", 5) != 0)
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    rows = docs.join(F.broadcast(picked), "_id").select("_id", "_label", "text")
+    # rows of one id are one document here: the bound on labels bounds what is fitted on
+    rows = docs.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("text").alias("text"))
+    rows = store(rows, "labelled")
     shared = docs.sparkSession.sparkContext.broadcast(lm)
 
     def words(batches):
@@ -266,54 +333,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             out = [sorted({p for w in reader.words(t) for p in parts(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_label"), pa.array(out, pa.list_(pa.string()))], ["y", "parts"])
 
-    seen = rows.mapInArrow(words, "y int, parts array<string>")
     n = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos + neg:
         return {"lm": lm, "weights": {}, "curve": np.zeros(4)}
+    seen = rows.mapInArrow(words, "y int, parts array<string>")
     counts = seen.select("y", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1.0))
-    strong = counts.filter(F.col("n") >= LEAST_DOCS).withColumn("w", odds).filter("w > 1")
-    strong = strong.orderBy((F.col("w") * F.sqrt("a")).desc(), "part").limit(MOST_WEIGHTS)
-    weights = {r[0]: r[1] for r in strong.select("part", "w").collect()}
+    # what the labelled documents have, at most: their number is bounded
+    weights = {r[0]: r[1] for r in counts.filter(F.col("a") >= LEAST_DOCS).withColumn("w", odds).filter("w > 1").select("part", "w").collect()}
     model = {"lm": lm, "weights": weights, "curve": None}
     shared2 = docs.sparkSession.sparkContext.broadcast(model)
 
     def summaries(batches):
         import pyarrow as pa
 
-        reader, weigh = Reader(shared2.value["lm"]), Weights(shared2.value["weights"])
+        scorer = Scorer(shared2.value["lm"], shared2.value["weights"])
         for b in batches:
-            x = [list(weigh.summary(reader.words(t))) for t in b.column("text").to_pylist()]
+            x = [scorer.summary(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_label"), pa.array(x, pa.list_(pa.float64()))], ["_id", "y", "x"])
 
-    got = rows.mapInArrow(summaries, "_id long, y int, x array<double>").limit(2 * most).collect()
+    got = rows.mapInArrow(summaries, "_id long, y int, x array<double>").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     model["curve"] = _curve(np.array([r[2] for r in got]), np.array([float(r[1]) for r in got]))
     return model
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the toxicity score, 0 to 1."""
+    """All columns of ``docs`` and the toxicity score, 0 to 1; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def toxicity(texts):
         import pandas as pd
 
-        reader, weigh = _worker(shared.value)
-        x = np.array([weigh.summary(reader.words(t)) for t in texts]).reshape(-1, 3)
+        scorer = held("toxicity", "scorer", name, lambda: Scorer(shared.value["lm"], shared.value["weights"]))
+        x = np.array([scorer.summary(t) for t in texts]).reshape(-1, 3)
         z = shared.value["curve"][0] + x @ shared.value["curve"][1:]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.withColumn(column, toxicity(F.col(text)))
-
-
-_WORKER: list = []
-
-
-def _worker(model: dict):
-    """Reader and weights of this worker's model, kept between batches."""
-    if not _WORKER or _WORKER[0] is not model:
-        _WORKER[:] = [model, Reader(model["lm"]), Weights(model["weights"])]
-    return _WORKER[1], _WORKER[2]
