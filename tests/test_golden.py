@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.config import AlertConfig
 from vigil.operators import alerts as al
+from vigil.operators.alert_store import AlertStore
 from vigil.operators import clean as cl
 from vigil.operators import features as feat
 from vigil.operators import rules as ru
@@ -115,9 +116,11 @@ def test_process_predictions_appends(spark):
                                "sensor_id string, ts string, risk_score double, failure_probability double, "
                                "is_failure boolean, is_anomaly boolean").withColumn(
         "timestamp", F.col("ts").cast("timestamp_ntz")).drop("ts")
-    assert al.process_predictions(df, path) == 1
-    assert al.process_predictions(df, path) == 2
-    a = spark.read.parquet(path).first()
+    store = AlertStore(spark, path)
+    assert store.process(df, "1") == 1
+    assert store.process(df, "1") == 1  # a rerun adds nothing
+    assert store.process(df, "2") == 2
+    a = store.read().first()
     assert a["alert_level"] == "EMERGENCY"
     assert a["message"] == "🚨 EMERGENCY: Equipment s1 at CRITICAL risk of failure!"
     assert a["raw_data"]["risk_score"] == 0.95
@@ -146,12 +149,17 @@ def test_one_hot_vector_matches_dummies(spark):
     from vigil.sources import views as v
 
     r = v.readings(spark, SF001)
-    out, model = feat.one_hot_vector(r)
+    new = r.limit(2).withColumn("sensor_id", F.lit("unseen")).unionByName(r.limit(1).withColumn("sensor_id", F.lit(None).cast("string")))
+    out = feat.one_hot_vector(r.unionByName(new), feat.sensor_slots(r))
     sensors = sorted(x[0] for x in r.select("sensor_id").distinct().collect())
-    rows = out.select("sensor_id", "sensor_onehot").limit(50).collect()
+    rows = out.select("sensor_id", "sensor_onehot", "sensor_onehot_slot").collect()
+    assert len(rows) == r.count() + 3
     for row in rows:
-        vec = row["sensor_onehot"].toArray()
-        assert vec.sum() == 1.0 and vec[sensors.index(row["sensor_id"])] == 1.0
+        vec = row["sensor_onehot"]
+        if row["sensor_id"] in sensors:
+            assert vec.size == len(sensors) and list(vec.indices) == [sensors.index(row["sensor_id"])] == [row["sensor_onehot_slot"]]
+        else:
+            assert vec.size == len(sensors) and not len(vec.indices) and row["sensor_onehot_slot"] is None
 
 
 @pytest.mark.parametrize("distinct", [1, 2, 4, 1500])

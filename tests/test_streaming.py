@@ -1,5 +1,6 @@
 """Streaming: micro-batches with carry-over equal the batch result (fixed statistics)."""
 
+import datetime
 import os
 import tempfile
 
@@ -11,8 +12,10 @@ from vigil.models.split import stable_unit
 from vigil.operators import clean as cl
 from vigil.operators import features as feat
 from vigil.plans.q_sources import envelopes
+from vigil.session import folder
 from vigil.sources import readings as rd
 from vigil.streaming import monitor as mon
+from vigil.streaming.replay import replay
 
 
 def _envelope_files(spark, root):
@@ -40,7 +43,7 @@ def test_stream_equals_batch(spark):
     allr = rd.type_readings(rd.read_envelopes(spark, src))
     # envelopes are cut by the first reading's time, so keep batches time-ordered per sensor
     stats = mon.StreamStats.fit(allr)
-    carry = mon.FeatureCarry(os.path.join(root, "state"), stats, os.path.join(root, "late"))
+    carry = mon.FeatureCarry(stats, os.path.join(root, "late"))
     q = mon.monitor_stream(mon.envelope_stream(spark, src, max_files=1), carry, os.path.join(root, "out"),
                            os.path.join(root, "ckpt"))
     q.awaitTermination()
@@ -123,7 +126,7 @@ def test_monitoring_cycle_scores_and_alerts(spark):
     hist = rd.type_readings(rd.read_envelopes(spark, src))
     models, _ = pl.train_all(hist, pl.feature_set("basic6"), n_trees=10, forest_kw={"numTrees": 5, "maxDepth": 4})
     stats = mon.StreamStats.fit(hist)
-    carry = mon.FeatureCarry(os.path.join(root, "state"), stats, os.path.join(root, "late"))
+    carry = mon.FeatureCarry(stats, os.path.join(root, "late"))
     q = mon.monitor_stream(
         mon.envelope_stream(spark, src, max_files=1), carry, os.path.join(root, "out"), os.path.join(root, "ckpt"),
         score=lambda f: pl.score_all(f, models, scope="fixed", features_ready=True))
@@ -146,8 +149,10 @@ def test_late_rows_are_kept_and_recomputed(spark):
     second = r.filter((F.col("_part") == 2) | F.col("reading_id").isin(late_ids)).drop("_part")
     r = r.drop("_part")
     stats = mon.StreamStats.fit(r)
-    carry = mon.FeatureCarry(f"{root}/state", stats, f"{root}/late")
-    out = {x["reading_id"]: x for b, part in enumerate((first, second)) for x in carry.process(part, b).collect()}
+    carry = mon.FeatureCarry(stats, f"{root}/late")
+    replay([first, second], lambda part, path: part.write.parquet(path), f"{root}/src", lambda src: mon.monitor_stream(
+        spark.readStream.schema(r.schema).parquet(src), carry, f"{root}/out", f"{root}/ckpt"))
+    out = {x["reading_id"]: x for x in spark.read.parquet(f"{root}/out/features").drop("batch").collect()}
     late = spark.read.parquet(f"{root}/late").drop("batch")
     assert sorted(x["reading_id"] for x in late.collect()) == sorted(late_ids) and not set(late_ids) & set(out)
     on_time = r.filter(~F.col("reading_id").isin(late_ids))
@@ -160,6 +165,67 @@ def test_late_rows_are_kept_and_recomputed(spark):
             assert a == b or abs(a - b) <= 1e-9 * max(1.0, abs(b)), (x["reading_id"], n, a, b)
 
 
+def test_state_of_touched_sensors_only(spark):
+    """A batch of two sensors updates two keys of the state; a later batch finds the others as they were."""
+    from vigil.sources import views as v
+
+    root = tempfile.mkdtemp(prefix="vigil-keyed-")
+    r = v.readings_gaps(spark, SF001)
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    two = F.col("sensor_id").isin("sensor_001", "sensor_002")
+    parts = [r.filter(F.col("timestamp") < cut), r.filter((F.col("timestamp") >= cut) & two), r.filter((F.col("timestamp") >= cut) & ~two)]
+    stats = mon.StreamStats.fit(r)
+    progress = replay(parts, lambda part, path: part.write.parquet(path), f"{root}/src", lambda src: mon.monitor_stream(
+        spark.readStream.schema(r.schema).parquet(src), mon.FeatureCarry(stats, f"{root}/late"), f"{root}/out", f"{root}/ckpt"))
+    sensors = r.select("sensor_id").distinct().count()
+    state = [p["stateOperators"][0] for p in progress if p["numInputRows"]]
+    assert len(state) == 3 and state[0]["numRowsTotal"] >= sensors * 0.9
+    first, second = (s["customMetrics"] for s in state[:2])
+    for what in ("rocksdbPutCount", "rocksdbGetCount", "rocksdbTotalBytesWritten"):  # two of 150 sensors
+        assert 0 < second[what] * 40 < first[what], (what, first[what], second[what])
+    changed = spark.read.format("statestore").option("readChangeFeed", "true").option("changeStartBatchId", 1).option("changeEndBatchId", 1)
+    assert {r[0] for r in changed.option("stateVarName", "known").load(f"{root}/ckpt").select("key.sensor_id").collect()} == {"sensor_001", "sensor_002"}
+    got = spark.read.parquet(f"{root}/out/features")
+    want = feat.all_features(cl.clean_fixed(r, stats.cleaning), min_max=stats.min_max)
+    assert got.count() == want.count() == r.count()
+    names = ["reading_id", "temperature_rolling_mean_20", "vibration_pct_change", "pressure_lag_5", "health_score"]
+    names = [n for n in names if n in want.columns]
+    a, b = ({x["reading_id"]: x for x in df.select(*names).collect()} for df in (got, want))
+    for k, x in b.items():
+        for n in names[1:]:
+            assert (x[n] is None) == (a[k][n] is None) and (x[n] is None or abs(a[k][n] - x[n]) <= 1e-9 * max(1.0, abs(x[n]))), (k, n)
+
+
+def test_values_older_than_the_tail_fill_gaps(spark):
+    """A channel silent for longer than the kept rows goes on from its last known value."""
+    root = tempfile.mkdtemp(prefix="vigil-known-")
+    schema = "reading_id long, timestamp timestamp_ntz, sensor_id string, temperature double, vibration double, pressure double, label string"
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, t0 + datetime.timedelta(minutes=i), "s", 5.0 if i == 0 else None, float(i % 7), 1.0 + i, "normal") for i in range(90)]
+    rows += [(900, None, "s", 1.0, 1.0, 1.0, "normal"), (901, t0, None, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, schema)
+    stats = mon.StreamStats.fit(df)
+    parts = [df.filter("reading_id < 30 or reading_id >= 900"), df.filter("reading_id between 30 and 31"), df.filter("reading_id between 32 and 89")]
+    replay(parts, lambda part, path: part.write.parquet(path), f"{root}/src", lambda src: mon.monitor_stream(
+        spark.readStream.schema(schema).parquet(src), mon.FeatureCarry(stats, f"{root}/late", ttl="30 days"), f"{root}/out", f"{root}/ckpt"))
+    got = spark.read.parquet(f"{root}/out/features")
+    assert got.count() == 90 and {r[0] for r in got.select("temperature").collect()} == {5.0}
+    assert sorted(r[0] for r in spark.read.parquet(f"{root}/late").select("reading_id").collect()) == [900, 901]
+
+
+def test_late_alerts_are_dropped_and_counted(spark):
+    from vigil.plans import q_streaming as qs
+    from vigil.streaming import replay as rp
+
+    parts = qs._late_alerts(spark, SF001)
+    root = folder(spark, "late-alerts")
+    progress = rp.replay(parts, lambda part, path: part.write.parquet(path), f"{root}/src", lambda src: mon.alert_stats_stream(
+        spark, src, parts[0].schema, f"{root}/table", f"{root}/ckpt"))
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    late = parts[-1].select(F.window(F.col("timestamp").cast("timestamp"), "1 hour"), "alert_level").distinct().count()
+    assert 0 < late <= dropped  # rows of the late part, counted after their own partial sums
+
+
 def test_a_broken_state_is_an_error(spark):
     import pytest
 

@@ -1,4 +1,4 @@
-"""Alert operators A1-A8, G10, G11, T3, I10.
+"""Alert operators A1, A2, A4-A8, G10, G11, T3; the stored table (I10, A3, A8) is in ``alert_store``.
 
 Alerts are rows, built by column expressions from scored rows; delivery
 payloads are JSON/text columns written to an outbox table (no HTTP here).
@@ -109,21 +109,6 @@ def build_alerts(df: DataFrame, cfg: AlertConfig = AlertConfig(), min_level: str
     return a
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append alert rows to a parquet table partitioned by date."""
-    alerts.withColumn("alert_date", F.to_date("timestamp")).write.mode("append").partitionBy("alert_date").parquet(path)
-
-
-def read_alerts(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def process_predictions(df: DataFrame, path: str, cfg: AlertConfig = AlertConfig()) -> int:
-    """A3: level -> alert -> append; returns the table's running total."""
-    append_alerts(build_alerts(df, cfg), path)
-    return df.sparkSession.read.parquet(path).count()
-
-
 # ------------------------------------------------------------------ payloads
 def _f4(c: str) -> Column:
     return F.format_string("%.4f", F.col(c))

@@ -16,6 +16,7 @@ from vigil.functions import series as fs
 from vigil.functions.series import Series
 from vigil.plans.chunking import CHUNK, DEFAULT_CHUNK_ROWS, HALO, finish, plan_chunks
 from vigil.session import stored
+from vigil.sources.layout import ranks
 
 
 def channels_in(df: DataFrame, channels=CHANNELS) -> list[str]:
@@ -214,20 +215,27 @@ def one_hot(df: DataFrame, values, column: str = "sensor_id", prefix: str = "sen
     return df.select(*df.columns, *[(F.col(column) == F.lit(v)).alias(f"{prefix}_{v}") for v in values])
 
 
-def one_hot_vector(df: DataFrame, column: str = "sensor_id", out: str = "sensor_onehot"):
-    """P5 for many sensors: StringIndexer + OneHotEncoder into one sparse vector column.
+def sensor_slots(df: DataFrame, column: str = "sensor_id") -> DataFrame:
+    """(column, slot, slots) of every distinct value, in order; ranked by many tasks, nothing of it on the driver."""
+    return ranks(df.filter(F.col(column).isNotNull()), column).select(column, F.col("rank").cast("int").alias("slot"), F.col("n").cast("int").alias("slots"))
 
-    Returns (transformed DataFrame, fitted PipelineModel) so scoring reuses the
-    training-time index; unseen values map to an extra all-zero slot ('keep').
+
+def one_hot_vector(df: DataFrame, slots: DataFrame, column: str = "sensor_id", out: str = "sensor_onehot") -> DataFrame:
+    """P5 for many sensors: the slot of each row's value, and a sparse vector with that slot set.
+
+    ``slots`` (``sensor_slots`` of the training rows) is joined by its size; a
+    value without a slot gets NULL and an all-zero vector.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.feature import OneHotEncoder
 
-    model = Pipeline(stages=[
-        StringIndexer(inputCol=column, outputCol=f"{out}_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=[f"{out}_idx"], outputCols=[out], dropLast=False, handleInvalid="keep"),
-    ]).fit(df)
-    return model.transform(df).drop(f"{out}_idx"), model
+    s = slots.withColumnRenamed(column, "_value")
+    x = df.join(s, F.col(column) == F.col("_value"), "left").drop("_value", "slots").withColumnRenamed("slot", f"{out}_slot")
+    n = slots.agg(F.max("slots")).first()[0] or 0
+    # slot n stands for "no slot" and is the encoder's dropped last category
+    at = F.coalesce(F.col(f"{out}_slot"), F.lit(n)).cast("double")
+    sizes = df.sparkSession.createDataFrame([(float(n),)], "i double")
+    encoder = OneHotEncoder(inputCols=["_slot"], outputCols=[out], dropLast=True).fit(sizes.withColumnRenamed("i", "_slot"))
+    return encoder.transform(x.withColumn("_slot", at)).drop("_slot")
 
 
 def calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -271,21 +279,16 @@ def encode_label(c: str = "label") -> Column:
 def label_correlations(df: DataFrame, features, target: str = "label") -> DataFrame:
     """|corr(feature, y)| per feature, pairwise-complete, NULL for constants.
 
-    One aggregate pass computes every covariance and std (partial aggregation),
-    then ``stack`` turns the single row into (feature, abs_corr) rows.
+    Rows turn into (feature, x, y) and one partial aggregate over as many keys
+    as there are features has the three moments of each.
     """
     y = encode_label(target) if dict(df.dtypes).get(target) == "string" else F.col(target).cast("double")
-    d = df.select(*[F.col(f).cast("double").alias(f) for f in features], y.alias("_y"))
-    aggs = []
-    for i, f in enumerate(features):
-        both = F.col(f).isNotNull() & F.col("_y").isNotNull()
-        fx, yy = F.when(both, F.col(f)), F.when(both, F.col("_y"))
-        aggs.append(
-            F.abs(F.try_divide(F.covar_pop(fx, yy), F.stddev_pop(fx) * F.stddev_pop(yy))).alias(f"c{i}")
-        )
-    row = d.agg(*aggs)
-    pairs = ", ".join(f"'{f}', c{i}" for i, f in enumerate(features))
-    return row.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, abs_corr)")
+    d = df.select(y.alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    long = d.unpivot(["_y"], list(features), "feature", "_x")
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, yy = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    m = long.groupBy("feature").agg(F.covar_pop(x, yy).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(yy).alias("sy"))
+    return m.select("feature", F.abs(F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("abs_corr"))
 
 
 def top_features(df: DataFrame, features, target: str = "label", k: int = 20) -> DataFrame:

@@ -3,13 +3,18 @@ G9-G11, T3, T4, D1-D5, I6, I7, P12, P14) over stand-in scores."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from vigil.config import AlertConfig
 from vigil.operators import alerts as al
 from vigil.operators import reports as rp
 from vigil.operators import rules as ru
+from vigil.operators.alert_store import AlertStore
 from vigil.plans.registry import register
+from vigil.session import folder, stored
+from vigil.sources import layout
 from vigil.sources import views as v
 
 ROUTE_CFG = AlertConfig(webhook_enabled=True, chat_enabled=True, markdown_enabled=True)
@@ -304,8 +309,42 @@ SELECT * FROM readings WHERE sensor_id = 'sensor_001'
 def i7_sensor_history(spark, sf_dir):
     """sensor_001 history over the 72 hours before the newest reading."""
     r = v.readings(spark, sf_dir)
-    ref = r.agg(F.max("timestamp").alias("_as_of"))
-    return rp.sensor_history(r.crossJoin(F.broadcast(ref)), "sensor_001", F.col("_as_of"), 72).drop("_as_of")
+    as_of = r.agg(F.max("timestamp")).first()[0]  # a literal, so that both time bounds reach the scan
+    return rp.sensor_history(r, "sensor_001", as_of, 72)
+
+
+CLUSTERED_ROWS = 1_000  # rows per file of the clustered table: small, so that a small table has files to skip
+
+
+def clustered(spark, sf_dir):
+    """The readings written along the Z-curve (I1); the folder of the table."""
+    path = folder(spark, "clustered")
+    layout.write_clustered(v.readings(spark, sf_dir), path, CLUSTERED_ROWS)
+    return path
+
+
+@register("i1_clustered_history", f"""WITH readings AS ({v.READINGS_SQL})
+SELECT * FROM readings WHERE sensor_id = 'sensor_001'
+  AND "timestamp" >= (SELECT max("timestamp") FROM readings) - INTERVAL 72 HOUR
+  AND "timestamp" <= (SELECT max("timestamp") FROM readings)""")
+def i1_clustered_history(spark, sf_dir):
+    """sensor_001's last 72 hours (I7) from the written Z-ordered table, opening only files that can hold them."""
+    path = clustered(spark, sf_dir)
+    last = layout.clustered_index(spark, path).agg(F.max("time_hi")).first()[0]
+    return layout.read_clustered(spark, path, "sensor_001", str(last - datetime.timedelta(hours=72)), str(last))
+
+
+@register("i1_clustered_newest", f"""WITH readings AS ({v.READINGS_SQL})
+SELECT * FROM readings ORDER BY "timestamp" DESC, reading_id DESC LIMIT 100""")
+def i1_clustered_newest(spark, sf_dir):
+    """Newest 100 readings (I6) from the written table, without files of older rows."""
+    return layout.newest(spark, clustered(spark, sf_dir), 100)
+
+
+@register("i1_clustered_sensor", f"WITH readings AS ({v.READINGS_SQL}) SELECT * FROM readings WHERE sensor_id = 'sensor_007'")
+def i1_clustered_sensor(spark, sf_dir):
+    """All readings of one sensor (P12) from the written table."""
+    return layout.read_clustered(spark, clustered(spark, sf_dir), "sensor_007")
 
 
 @register("t4_sensor_trends", f"""WITH readings AS ({v.READINGS_SQL}),
@@ -351,6 +390,49 @@ def p4_sensor_thresholds(spark, sf_dir):
     return al.build_alerts(s).select("reading_id", "sensor_id", "alert_level")
 
 
+_STORE_COLS = ("reading_id", "timestamp", "sensor_id", "alert_level", "risk_score", "failure_probability", "anomaly_score", "is_failure", "is_anomaly")
+_STORE_SQL = BASE + SCORED + ALERTS + """
+SELECT reading_id, "timestamp", sensor_id, alert_level, risk_score, failure_probability, anomaly_score, is_failure, is_anomaly FROM alerts"""
+_BATCHES = 3
+
+
+def _alert_store(spark, sf_dir, times=1):
+    """A table of all alerts, appended in batches by reading id; every batch ``times`` times."""
+    store = AlertStore(spark, folder(spark, "alerts"))
+    a = stored(alerts(spark, sf_dir).select(*_STORE_COLS), "alerts")
+    for b in range(_BATCHES):
+        for _ in range(times):
+            store.append(a.filter(F.col("reading_id") % _BATCHES == b), f"b{b}")
+    return store
+
+
+@register("i10_alert_table", _STORE_SQL, rounded=A_DBL)
+def i10_alert_table(spark, sf_dir):
+    """The stored alert table after three batches, each appended twice: every alert once."""
+    return _alert_store(spark, sf_dir, times=2).read().select(*_STORE_COLS)
+
+
+@register("a3_running_total", BASE + SCORED + ALERTS + f""", b AS (SELECT reading_id % {_BATCHES} AS b, count(*) AS stored FROM alerts GROUP BY 1)
+SELECT 'b' || b AS batch_id, stored, CAST(sum(stored) OVER (ORDER BY b) AS BIGINT) AS total FROM b""")
+def a3_running_total(spark, sf_dir):
+    """Predictions to alerts to table, batch by batch: what each added and the running total, kept in the commits."""
+    store = AlertStore(spark, folder(spark, "alerts"))
+    s, rows, before = stored(scored(spark, sf_dir), "scored"), [], 0
+    for b in range(_BATCHES):
+        total = store.process(s.filter(F.col("reading_id") % _BATCHES == b), f"b{b}")
+        rows.append((f"b{b}", total - before, total))
+        before = total
+    return spark.createDataFrame(rows, "batch_id string, stored long, total long")
+
+
+@register("a8_retained_table", _STORE_SQL + " WHERE \"timestamp\" >= TIMESTAMP '2024-01-16 12:00:00'", rounded=A_DBL)
+def a8_retained_table(spark, sf_dir):
+    """The stored alert table after retention: dates before the cutoff dropped, the cutoff's date rewritten, later files kept."""
+    store = _alert_store(spark, sf_dir)
+    store.retain("2024-01-16 12:00:00")
+    return store.read().select(*_STORE_COLS)
+
+
 @register("s5_alert_stats_hourly", BASE + SCORED + ALERTS + """
 SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end,
        alert_level, count(*) AS n

@@ -59,3 +59,17 @@ SELECT * FROM readings r WHERE NOT EXISTS (SELECT 1 FROM known_sensors k WHERE k
 def i4_reject_unknown(spark, sf_dir):
     """Readings of unknown sensors (anti join)."""
     return rd.reject_unknown(v.readings(spark, sf_dir), v.known_sensors(spark, sf_dir))
+
+
+@register("i4_bloom_known", f"""WITH readings AS ({v.READINGS_SQL}), known_sensors AS ({v.KNOWN_SENSORS_SQL})
+SELECT * FROM readings r WHERE EXISTS (SELECT 1 FROM known_sensors k WHERE k.sensor_id = r.sensor_id)""")
+def i4_bloom_known(spark, sf_dir):
+    """Known sensors' readings where the dimension counts as too large to broadcast: Bloom filter, then semi join."""
+    return rd.accept_known(v.readings(spark, sf_dir), v.known_sensors(spark, sf_dir), broadcast_rows=0)
+
+
+@register("i4_bloom_unknown", f"""WITH readings AS ({v.READINGS_SQL}), known_sensors AS ({v.KNOWN_SENSORS_SQL})
+SELECT * FROM readings r WHERE NOT EXISTS (SELECT 1 FROM known_sensors k WHERE k.sensor_id = r.sensor_id)""")
+def i4_bloom_unknown(spark, sf_dir):
+    """Unknown sensors' readings by the same filter: those that fail it, and of the others the anti join."""
+    return rd.reject_unknown(v.readings(spark, sf_dir), v.known_sensors(spark, sf_dir), broadcast_rows=0)

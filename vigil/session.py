@@ -51,6 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the shared checkpoint storage."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared checkpoint folder and read back.
 
