@@ -11,7 +11,8 @@ reading that is most likely under a character trigram model counted over all
 documents. The restored words join the text's own words.
 
 Score: words, and their beginnings of 4 to 8 letters, weigh by the log-odds of
-toxic against other labelled documents; a logistic curve over a document's
+toxic against other labelled documents, where these are surely above chance; a
+logistic curve over a document's
 strongest words and their number gives the score.
 
 The word weights and the curve are fitted on at most ``TRAINING_DOCS`` labelled
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 from vigil.llm.common import WORKER_BYTES, Remembered, fold, held, store
 
 TRAINING_DOCS = 20000
-LEAST_DOCS = 3
+#: A word weighs if so many toxic documents have it, and its log-odds are above 1 by so many standard errors.
+LEAST_DOCS, SURE = 3, 2.5
+#: Of words cut in two, the weighted part that goes over the cut has so many letters at least.
+CUT_LETTERS = 5
 #: What a sign may stand for, and its channel cost.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
@@ -46,9 +50,8 @@ GAPS = " \t\n\r\x0b\x0c.-_*~'`^,:/"
 COST_LEET, COST_GAP, COST_BREAK, COST_REPEAT, COST_KEPT = 1.0, 0.3, 2.5, 0.3, 6.0
 #: Character classes: 0 no letter, 1 other letter, 2-27 a to z, 28 on the letters of U+00DF to U+00FF.
 N_CLASSES = 61
-_MIXED = re.compile(r"[^\W\d_][._\-*~'`^,:/]+[^\W\d_]")
-_SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
+#: A sign that may stand for a letter, marks between letters, or a letter three times in a row.
+_SUSPICIOUS = re.compile("[" + re.escape("".join(LEET)) + r"]|[^\W\d_][._\-*~'`^,:/]+[^\W\d_]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S))+")
 _SPLIT = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3}(?!\S))+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -168,7 +171,7 @@ def restore(text: str, lm: np.ndarray) -> str:
 
 
 def _suspicious(word: str) -> bool:
-    return bool(_SIGN.search(word) or _MIXED.search(word) or _REPEAT.search(word))
+    return _SUSPICIOUS.search(word) is not None
 
 
 def _restored(stretch: str, lm: np.ndarray) -> list[str]:
@@ -176,7 +179,7 @@ def _restored(stretch: str, lm: np.ndarray) -> list[str]:
 
 
 def _token_words(token: str, lm: np.ndarray, worth=lambda stretch: True) -> set[str]:
-    words = _LETTERS.findall(token)
+    words = [token] if token.isalpha() else _LETTERS.findall(token)
     if _suspicious(token) and worth(token):
         words += _restored(token, lm)
     return {w for w in words if len(w) > 1}
@@ -245,7 +248,8 @@ class Scorer:
         self.clean: set[str] = set()  # tokens without a weighted word
         self.left = WORKER_BYTES * 3 // 4
         self.hits = Remembered(WORKER_BYTES // 4)
-        self.heads = {p[:4] for p in (w.removeprefix("=") for w in weights) if len(p) >= 4}
+        self.heads = {p.removeprefix("=")[:4] for p in weights}
+        self.long_heads = {p[:k] for p in (w.removeprefix("=") for w in weights) for k in range(CUT_LETTERS, len(p) + 1)}
         self.parts = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in weights:
             self.parts.add_word(skeleton(p))
@@ -258,6 +262,8 @@ class Scorer:
         return bool(_DROPPED.search(stretch)) or next(self.parts.iter(skeleton(stretch)), None) is not None
 
     def weight(self, word: str) -> float:
+        if word[:4] not in self.heads:
+            return 0.0
         return next((self.weights[p] for p in parts(word) if p in self.weights), 0.0)
 
     def _weighted(self, words) -> dict[str, float]:
@@ -275,12 +281,12 @@ class Scorer:
         return got
 
     def _cut_words(self, tokens: list[str]) -> set[str]:
-        """Neighbouring tokens whose letters together begin like a weighted part that neither has alone."""
-        out = set()
-        for a, b in zip(tokens, tokens[1:]):
-            if (a + b)[:4] in self.heads and (len(a) > 3 or len(b) > 3) and a.isalpha():
+        """Neighbouring tokens whose letters together begin like a weighted part, of ``CUT_LETTERS`` or more, that the first has not alone."""
+        out, heads = set(), self.long_heads
+        for a, b in [(a, b) for a, b in zip(tokens, tokens[1:]) if (a + b)[:max(CUT_LETTERS, len(a) + 1)] in heads]:
+            if a.isalpha() and (len(a) > 3 or len(b) > 3):
                 rest = _LETTERS.match(b)
-                if rest and any(p in self.weights for p in parts(a + rest.group()) if len(p) > len(a)):
+                if rest and any(p in self.weights for p in parts(a + rest.group()) if len(p.removeprefix("=")) > max(len(a), CUT_LETTERS - 1)):
                     out.add(f"{a} {rest.group()}")
         return out
 
@@ -341,7 +347,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     counts = seen.select("y", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1.0))
     # what the labelled documents have, at most: their number is bounded
-    weights = {r[0]: r[1] for r in counts.filter(F.col("a") >= LEAST_DOCS).withColumn("w", odds).filter("w > 1").select("part", "w").collect()}
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
+    strong = counts.filter(F.col("a") >= LEAST_DOCS).withColumn("w", odds).filter(F.col("w") - SURE * error > 1)
+    weights = {r[0]: r[1] for r in strong.select("part", "w").collect()}
     model = {"lm": lm, "weights": weights, "curve": None}
     shared2 = docs.sparkSession.sparkContext.broadcast(model)
 
