@@ -29,10 +29,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Remembered, held
+from vigil.llm.common import Remembered, held, store
 from vigil.llm.tokens import byte_signs
 
-#: Most frequent words in the lexicon, and the longest of them in bytes.
+#: Words in the lexicon at most, the most frequent ones, and the longest of them in bytes.
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 64
 #: A worker looks at so many characters at a time, and remembers the ids of so many bytes of unseen words.
@@ -334,10 +334,21 @@ def _worker_encoder(tokenizer_json: str, name: str) -> Encoder:
 
 # ------------------------------------------------------------------ Spark
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS, longest: int = LEXICON_BYTES) -> DataFrame:
-    """word, n: the most frequent words of the whole corpus, with the blank before them. A top-k of fixed size."""
+    """word, n: words of the whole corpus, with the blank before them, down to the count that at most ``most`` words reach.
+
+    Counts are taken in steps of a sixteenth of an octave; words that occur
+    once are never frequent.
+    """
     words = docs.select(F.explode(F.split(F.col(text), " (?=\\S)")).alias("word")).filter(F.octet_length("word") < longest)
-    counts = words.groupBy("word").count()
-    return counts.orderBy(F.desc("count"), "word").limit(most).select(F.concat(F.lit(" "), "word").alias("word"), F.col("count").alias("n"))
+    counts = store(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "word-counts")
+    step = F.floor(16 * F.log2(F.col("n")))
+    least, total = None, 0
+    for s, n in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):  # a thousand steps at most
+        total += n
+        if total > most:
+            break
+        least = s
+    return counts.filter(F.lit(False) if least is None else step >= least).select(F.concat(F.lit(" "), "word").alias("word"), "n")
 
 
 _ADDED: set = set()
