@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from conftest import SF001
 from pyspark.sql import functions as F
 
 from vigil.models import iforest as ifo
@@ -117,3 +118,42 @@ def test_serving_cleans_like_training(spark):
     assert a.keys() == b.keys()
     assert all(abs(a[k][f] - b[k][f]) <= 1e-9 * max(1.0, abs(a[k][f])) for k in a for f in pl.feature_set())
     assert a != {x["reading_id"]: x for x in pl.aligned(feat.all_features(r), models, keep=("reading_id",)).collect()}
+
+
+def test_no_small_node_is_split_and_sql_scores_the_exported_nodes(spark):
+    """M5's minimum split, and M6 recomputed by SQL from the exported node table."""
+    import duckdb
+
+    from vigil.models import classifiers as cls
+    from vigil.models import metrics as mt
+    from vigil.operators import explain as ex
+    from vigil.operators import features as feat
+    from vigil.sources import views as v
+
+    names = ["temperature", "vibration", "pressure"]
+    r = v.readings(spark, SF001).withColumn("y", feat.encode_label("label")).fillna(0.0, names)
+    grown, cut = (cls.fit_forest(r, names, min_split=m, numTrees=10) for m in (0, 5))
+    before, nodes = ex.forest_nodes(grown), ex.forest_nodes(cut)
+    assert before[before.left >= 0].cover.min() < 5 <= nodes[nodes.left >= 0].cover.min()
+    assert 0 < len(nodes) < len(before)
+    for _, t in nodes.groupby("tree"):
+        assert list(t.node) == list(range(len(t)))  # whole trees, numbered from the root
+        inner = t[t.left >= 0]
+        assert sorted([*inner.left, *inner.right]) == list(range(1, len(t)))
+    scored = cls.predict_failure(cut, r)
+    auc = [mt.auc(x, "failure_probability") for x in (cls.predict_failure(grown, r), scored)]
+    assert abs(auc[0] - auc[1]) < 0.02
+    rows, tree_nodes = r.select("reading_id", *names).toPandas(), nodes.rename(columns={"left": "l", "right": "r"})  # noqa: F841
+    got = {x.reading_id: x.failure_probability for x in scored.select("reading_id", "failure_probability").collect()}
+    want = duckdb.sql(f"""
+        WITH RECURSIVE x AS (UNPIVOT (SELECT reading_id, {', '.join(f'{c} AS f{i}' for i, c in enumerate(names))} FROM rows) ON f0, f1, f2 INTO NAME f VALUE v),
+        w AS (
+            SELECT r.reading_id, n.tree, n.node, n.l, n.r, n.feature, n.threshold, n.value FROM rows r, tree_nodes n WHERE n.node = 0
+            UNION ALL
+            SELECT w.reading_id, n.tree, n.node, n.l, n.r, n.feature, n.threshold, n.value
+            FROM w JOIN x ON x.reading_id = w.reading_id AND x.f = 'f' || w.feature
+            JOIN tree_nodes n ON n.tree = w.tree AND n.node = CASE WHEN x.v <= w.threshold THEN w.l ELSE w.r END
+            WHERE w.l >= 0)
+        SELECT reading_id, avg(value) AS p FROM w WHERE l < 0 GROUP BY reading_id""").fetchall()
+    assert len(want) == len(got)
+    assert max(abs(got[k] - p) for k, p in want) < 1e-9

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.models.pruning import MIN_SPLIT, with_min_split
+
 # 100 trees, depth 10, seed 42; logistic L2 strength 1e-4.
 FOREST_PARAMS = dict(numTrees=100, maxDepth=10, seed=42, featureSubsetStrategy="sqrt", impurity="gini")
 LOGISTIC_PARAMS = dict(regParam=1e-4, elasticNetParam=0.0, maxIter=100)
@@ -21,15 +23,15 @@ LOGISTIC_PARAMS = dict(regParam=1e-4, elasticNetParam=0.0, maxIter=100)
 FOREST_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
 
 
-def fit_forest(train: DataFrame, features, label: str = "y", **kw) -> PipelineModel:
-    """M5: VectorAssembler -> RandomForestClassifier (trees on unscaled features, Q8)."""
+def fit_forest(train: DataFrame, features, label: str = "y", min_split: float = MIN_SPLIT, **kw) -> PipelineModel:
+    """M5: VectorAssembler -> RandomForestClassifier (trees on unscaled features, Q8), nodes of fewer than ``min_split`` rows not split."""
     params = {**FOREST_PARAMS, **FOREST_EXEC, **kw}
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="rf_features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="rf_features", labelCol=label, probabilityCol="rf_probability",
                                rawPredictionCol="rf_raw", predictionCol="rf_prediction", **params),
     ])
-    return pipe.fit(train)
+    return with_min_split(train.sparkSession, pipe.fit(train), min_split)
 
 
 def fit_logistic(train: DataFrame, features, label: str = "y", **kw) -> PipelineModel:

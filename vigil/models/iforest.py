@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from vigil.functions.stats import exact_quantiles
 from vigil.models.split import stable_unit
+from vigil.session import stored
 
 TREE_SCHEMA = T.StructType(
     [
@@ -167,16 +168,14 @@ def _raw_score(df: DataFrame, model: IsolationForestModel):
 
 def fit_isolation_forest(df: DataFrame, features, n_trees: int = 100, psi: int = 256, contamination: float = 0.1,
                          seed: int = 42, id_col: str = "reading_id") -> IsolationForestModel:
-    model, _, raw = fit_and_score(df, features, n_trees, psi, contamination, seed, id_col)
-    raw.unpersist()
-    return model
+    return fit_and_score(df, features, n_trees, psi, contamination, seed, id_col)[0]
 
 
 def fit_and_score(df: DataFrame, features, n_trees: int = 100, psi: int = 256, contamination: float = 0.1,
-                  seed: int = 42, id_col: str = "reading_id") -> tuple[IsolationForestModel, DataFrame, DataFrame]:
-    """The model, the training rows' ``anomaly_score`` and ``is_anomaly``, and the cached frame under them to unpersist.
+                  seed: int = 42, id_col: str = "reading_id") -> tuple[IsolationForestModel, DataFrame]:
+    """The model, and the training rows' ``anomaly_score`` and ``is_anomaly``.
 
-    All rows are scored once: offset, range and metrics come from that one narrow frame.
+    All rows are scored once: offset, range and metrics come from that one narrow table, which is written.
     """
     n = df.count()
     psi_eff = int(min(psi, max(n, 1)))
@@ -186,10 +185,10 @@ def fit_and_score(df: DataFrame, features, n_trees: int = 100, psi: int = 256, c
         _builder(schema_in, psi_eff, seed), TREE_SCHEMA
     ).toPandas()  # bounded: n_trees * (2 psi - 1) rows
     model = IsolationForestModel(trees, list(features), psi_eff, 0.0, n_trees)
-    raw = df.select(_raw_score(df, model).alias("_s")).cache()
+    raw = stored(df.select(_raw_score(df, model).alias("_s")), "isolation-scores")
     model.offset = float(exact_quantiles(raw, {"_s": [contamination]})[("_s", contamination)])
     scored = raw.select((F.col("_s") - F.lit(model.offset)).alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") < 0)
-    return model, scored, raw
+    return model, scored
 
 
 def score_isolation_forest(model: IsolationForestModel, df: DataFrame, threshold: float = 0.0) -> DataFrame:
