@@ -81,3 +81,36 @@ def test_components_of_a_long_path_and_a_star(spark):
     rng.shuffle(edges)
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_one_shingle_in_many_otherwise_different_documents(spark):
+    """A shingle that all documents share makes no pairs of them, and near copies among them are found."""
+    rng = random.Random(9)
+    common = "this stands in all texts"
+
+    def text():
+        return " ".join([*(f"w{rng.randint(0, 10**7)}" for _ in range(9)), common])
+
+    rows = [(i, text()) for i in range(20_000)]
+    rows += [(20_000 + k, rows[k][1] + " more") for k in range(40)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    small = rows[:60] + rows[20_000:]
+    want = brute(small)
+    assert {k: n for k, n in got.items() if k[0] < 60 or k[0] >= 20_000} == want
+    assert sum(n for (d, _, c), n in got.items() if d != c) == 40
+
+
+def test_a_hub_meets_all_its_partners(spark, monkeypatch):
+    from vigil.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HUB_PARTNERS", 3)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        words = list(base)
+        for _ in range(rng.randint(1, 12)):
+            words[rng.randrange(200)] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)

@@ -5,6 +5,8 @@ import pytest
 
 from test_entry import _entry_module
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
+from test_ngram_join import brute as near_brute
+from vigil.llm.mixing import mix
 from vigil.llm.queries import ORACLE, QUERIES
 
 SF0001 = "/root/testdata/sf0.001"
@@ -12,7 +14,7 @@ SF0001 = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     q = _entry_module().queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in q) == 1
     assert "pipeline" in q and set(ORACLE) <= set(QUERIES) <= set(q)
 
@@ -37,8 +39,18 @@ def test_stages_keep_the_columns_and_take_effect(spark):
             kept = {r.doc_id for r in rows}
             assert sum(d in kept for d, q in labels.items() if q == 1) >= 0.97 * sum(labels.values())
             assert sum(d in kept for d, q in labels.items() if q == 0) <= 0.2 * sum(1 - q for q in labels.values())
+        before = docs.collect()
         if name == "exact_dedup":
-            assert Counter(r.text for r in rows) == Counter({r.text for r in docs.collect()})
+            last = {}
+            for r in before:
+                last[r.text or ""] = max(r.doc_id, last.get(r.text or "", r.doc_id))
+            assert sorted(r.doc_id for r in rows) == sorted(last.values())
+        if name == "ngram_join":
+            groups = near_brute([(r.doc_id, r.text) for r in before])
+            assert sorted(r.doc_id for r in rows) == sorted(d for d, _, component in groups if d == component)
+        if name == "mixing":
+            want = Counter({r.doc_id: r.taken // r.size for r in mix(docs).collect() if r.taken})
+            assert Counter(r.doc_id for r in rows) == want and max(want.values()) <= 2
         counts.append(len(rows))
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.packing(spark, docs, SF0001).collect()

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -122,3 +123,30 @@ def test_sequences_of_a_thousand_pieces():
     bins = pack(sizes)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 4096 for b in bins) and len(bins) == 1000
+
+
+def test_bound_takes_all_thresholds():
+    rng = random.Random(3)
+    sizes = [rng.randint(2600, 3000) for _ in range(500)] + [rng.randint(1300, 1600) for _ in range(500)]
+    by_hand = 0
+    for t in {0, *sizes}:  # the same bound, threshold by threshold
+        if 2 * t > 4096:
+            continue
+        big = [s for s in sizes if 2 * s > 4096]
+        alone = sum(s > 4096 - t for s in big)
+        room = sum(4096 - s for s in big if s <= 4096 - t)
+        rest = sum(s for s in sizes if t <= s and 2 * s <= 4096)
+        by_hand = max(by_hand, len(big) + max(0, -(-(rest - room) // 4096)), -(-sum(sizes) // 4096))
+        assert alone <= len(big)
+    assert bound(sizes, 4096) == by_hand > -(-sum(sizes) // 4096) + 20
+    assert bound([], 10) == 0 and bound([10, 10], 10) == 2 and bound([1] * 11, 10) == 2
+
+
+def test_dictionary_samples_cover_whole_arrays():
+    from vigil.llm.token_files import SLICE_BYTES, SLICES, _evenly
+
+    for size in (0, 1, SLICE_BYTES, SLICES * SLICE_BYTES):
+        at = _evenly(size)
+        assert at == list(range(0, size, SLICE_BYTES))
+    at = _evenly(10**6)
+    assert len(at) == SLICES and at[0] == 0 and 10**6 - SLICE_BYTES - 4 < at[-1] <= 10**6 - SLICE_BYTES and all(a % 4 == 0 for a in at)

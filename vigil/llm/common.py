@@ -18,7 +18,7 @@ WORKER_BYTES = 32 << 20
 #: Bytes of rows that Spark sends a Python worker at once; texts differ a thousandfold in length.
 BATCH_BYTES = 8 << 20
 #: What a dict entry of two small objects takes beside their content.
-_ENTRY_BYTES = 180
+_ENTRY_BYTES = 120
 
 
 class Remembered(dict):

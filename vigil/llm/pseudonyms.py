@@ -12,8 +12,10 @@ international numbers, IPv4 addresses, dates from 1900 to 2099, the local part
 of mail addresses, and keys or passwords (digits and letters keep their kind).
 
 Defined cases: null text stays null with no finds; empty text stays empty;
-values that fail validation stay; repeated rows are treated alike; an empty
-table gives no rows; further columns pass through untouched.
+values that fail validation stay, as do version numbers; dates keep the digits
+of day and month, so their widths; repeated rows are treated alike; an empty
+table gives no rows; further columns pass through untouched, but
+for one named ``n_replaced``.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import datetime
 import hashlib
 import math
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = b"vigil-pseudonyms"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
@@ -35,7 +37,7 @@ PATTERN = re.compile(
     r"|(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?i:(?P<name>(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key)\s?[=:]\s?[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{8,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
+    r"|(?P<ip>(?<![\d.])(?<![Vv])(?<![Vv]ersion )\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
     r"|(?P<iso>(?<![\d-])\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}(?![\d-]))"
     r"|(?P<dmy>(?<![\d./])\d{1,2}(?P<s2>[./])\d{1,2}(?P=s2)\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -117,10 +119,27 @@ def _written(old: str, new: str) -> str:
     return "".join((next(it).upper() if c.isupper() else next(it)) if c.isalnum() else c for c in old)
 
 
+class _Days:
+    """All dates by kind: a day of one digit, of 10 to 12, or above, and a month of one digit or two."""
+
+    def __init__(self):
+        self.alike: dict[int, list[int]] = {}
+        self.place = []
+        for n in range(FIRST_DAY, LAST_DAY + 1):
+            d = datetime.date.fromordinal(n)
+            kind = 2 * (0 if d.day < 10 else 1 if d.day <= 12 else 2) + (d.month >= 10)
+            same = self.alike.setdefault(kind, [])
+            self.place.append((kind, len(same)))
+            same.append(n)
+
+
+_DAYS = _Days()
+
+
 class Pseudonymizer:
     """One method per format; each returns the pseudonym or None if the value isn't valid."""
 
-    def __init__(self, key: bytes = KEY, undo: bool = False):
+    def __init__(self, key: bytes, undo: bool = False):
         f = Feistel(key)
         self.move = f.undo if undo else f.permute
 
@@ -201,13 +220,16 @@ class Pseudonymizer:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _day(self, year: str, month: str, day: str):
+        """Another date whose day and month have as many digits, so that it can be written as the old one was."""
         try:
             n = datetime.date(int(year), int(month), int(day)).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= n <= LAST_DAY:
             return None
-        return datetime.date.fromordinal(FIRST_DAY + self.move(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "day"))
+        kind, at = _DAYS.place[n - FIRST_DAY]
+        alike = _DAYS.alike[kind]
+        return datetime.date.fromordinal(alike[self.move(at, len(alike), f"day{kind}")])
 
     def iso(self, s):
         d = self._day(s[:4], s[5:7], s[8:])
@@ -220,9 +242,9 @@ class Pseudonymizer:
         d = self._day(y, b, a) if day_first else self._day(y, a, b)
         if d is None:
             return None
-        # written so that the same rule reads it back: with slashes, day first only where the day is over 12
-        first, second = (d.day, d.month) if mark == "." or (day_first and d.day > 12) else (d.month, d.day)
-        return f"{first:02d}{mark}{second:02d}{mark}{d.year:04d}"
+        # a day above 12 stays above 12, so the same rule reads the new date back
+        first, second = (d.day, d.month) if day_first else (d.month, d.day)
+        return f"{str(first).zfill(len(a))}{mark}{str(second).zfill(len(b))}{mark}{d.year:04d}"
 
     def ssn(self, s):
         def valid(x):
@@ -275,8 +297,11 @@ class Pseudonymizer:
         return "".join(out) + text[at:], found
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
-    """All columns, with ``text`` replaced and ``n_replaced`` added."""
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", undo: bool = False) -> DataFrame:
+    """All columns, with ``text`` replaced and ``n_replaced`` added; a column of that name is replaced too.
+
+    Who has the key can undo the pseudonyms: it belongs in the cluster's secrets.
+    """
 
     @F.pandas_udf("text string, n int")
     def run(texts):
@@ -285,5 +310,6 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bo
         p = Pseudonymizer(key, undo)
         return pd.DataFrame([p.text(t) for t in texts], columns=["text", "n"])
 
-    out = docs.withColumn("_pseudonyms", run(F.col(text)))
-    return out.withColumn(text, F.col("_pseudonyms.text")).withColumn("n_replaced", F.col("_pseudonyms.n")).drop("_pseudonyms")
+    found = uuid.uuid4().hex  # no column of the input has this name
+    out = docs.withColumn(found, run(F.col(text)))
+    return out.withColumns({text: F.col(f"{found}.text"), "n_replaced": F.col(f"{found}.n")}).drop(found)

@@ -11,6 +11,8 @@ import struct
 
 from vigil.llm.common import Remembered, held
 
+#: Bytes of words that a worker remembers with their ids: most of a corpus's words are met again.
+WORD_BYTES = 128 << 20
 _TAIL = b".,;:!?*$%&#"
 _SAMPLES = ("the", "Überraschung", "señora", "çà", "xqzvw", "a", "thandeingly", "ærøÿß")
 
@@ -29,7 +31,7 @@ class WordIds(Remembered):
     """word (bytes) -> ids as bytes; fills itself."""
 
     def __init__(self, tokenizer_json: str):
-        super().__init__()
+        super().__init__(WORD_BYTES)
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
