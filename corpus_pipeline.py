@@ -21,31 +21,52 @@ LEAST_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF rejects (score below 0.3) go."""
+    """Documents that the line CRF rejects (score below 0.3) go.
+
+    A null or empty text is scored as a text without lines; without labels all
+    rows stay; an empty table stays empty; rows repeated whole are scored alike.
+    """
     ready(spark)
     return accepted(docs, train(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null texts count as empty, and empty texts as equal; null doc_ids are the
+    smallest; of rows with one id and one text any one stays, with its columns.
+    """
     ready(spark)
     return deduplicate(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Documents without words are in no group and all stay; a document with a null
+    doc_id stays only where its whole group has none.
+    """
     ready(spark)
     return one_per_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them.
+
+    Null and empty texts have size 0 and are not taken; a null source is a
+    source; of rows with one id and one text any one stands for all of them and
+    has their copies.
+    """
     ready(spark)
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 4096 tokens."""
+    """Pieces of all documents with their place in sequences of 4096 tokens.
+
+    A null or empty text is its end token; rows repeated whole, and documents
+    taken twice, are packed as often as they stand there.
+    """
     ready(spark)
     return best_fit_packing(docs, vocabulary())
 
