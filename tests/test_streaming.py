@@ -207,7 +207,7 @@ def test_values_older_than_the_tail_fill_gaps(spark):
     stats = mon.StreamStats.fit(df)
     parts = [df.filter("reading_id < 30 or reading_id >= 900"), df.filter("reading_id between 30 and 31"), df.filter("reading_id between 32 and 89")]
     replay(parts, lambda part, path: part.write.parquet(path), f"{root}/src", lambda src: mon.monitor_stream(
-        spark.readStream.schema(schema).parquet(src), mon.FeatureCarry(stats, f"{root}/late", ttl="30 days"), f"{root}/out", f"{root}/ckpt"))
+        spark.readStream.schema(schema).parquet(src), mon.FeatureCarry(stats, f"{root}/late"), f"{root}/out", f"{root}/ckpt"))
     got = spark.read.parquet(f"{root}/out/features")
     assert got.count() == 90 and {r[0] for r in got.select("temperature").collect()} == {5.0}
     assert sorted(r[0] for r in spark.read.parquet(f"{root}/late").select("reading_id").collect()) == [900, 901]

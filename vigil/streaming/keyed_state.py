@@ -45,14 +45,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 class CarryRows(StatefulProcessor):
     """State per sensor: ``tail`` (the last rows) and ``known`` (newest value of each channel older than the tail)."""
 
-    def __init__(self, columns: list[str], channels: list[str], history: int, ttl_ms: int | None = None):
-        self.columns, self.channels, self.history, self.ttl_ms = columns, channels, history, ttl_ms
+    def __init__(self, columns: list[str], channels: list[str], history: int):
+        self.columns, self.channels, self.history = columns, channels, history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [("reading_id", T.LongType()), ("at_us", T.LongType()), *[(c, T.DoubleType()) for c in self.channels], ("label", T.StringType())]
-        self.tail = handle.getListState("tail", T.StructType([T.StructField(n, t) for n, t in fields]), ttlDurationMs=self.ttl_ms)
+        self.tail = handle.getListState("tail", T.StructType([T.StructField(n, t) for n, t in fields]))
         known = [T.StructField(f"{c}_{part}", t) for c in self.channels for part, t in (("us", T.LongType()), ("id", T.LongType()), ("value", T.DoubleType()))]
-        self.known = handle.getValueState("known", T.StructType(known), ttlDurationMs=self.ttl_ms)
+        self.known = handle.getValueState("known", T.StructType(known))
 
     def close(self) -> None:
         pass
@@ -103,18 +103,16 @@ class CarryRows(StatefulProcessor):
             self.known.update(tuple(known))
 
 
-def carried(stream: DataFrame, cfg: FeatureConfig = FeatureConfig(), ttl: str | None = None) -> DataFrame:
+def carried(stream: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The readings of a stream with each touched sensor's carried rows, marked by ``row_kind``.
 
-    ``ttl`` (such as "30 days") lets the state of silent sensors expire.
     Readings without a time or a sensor cannot be placed in a series and are
     marked "late".
     """
     columns, channels = stream.columns, [c for c in CHANNELS if c in stream.columns]
     use_rocksdb(stream.sparkSession)
-    ttl_ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
     schema = T.StructType([*stream.schema.fields, T.StructField(KIND, T.StringType())])
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
     keyed = stream.withColumn("at_us", at).drop("timestamp")
     return keyed.groupBy("sensor_id").transformWithStateInPandas(
-        CarryRows(columns, channels, cfg.history, ttl_ms), schema, "Append", "None" if ttl is None else "ProcessingTime")
+        CarryRows(columns, channels, cfg.history), schema, "Append", "None")
