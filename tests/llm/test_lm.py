@@ -64,3 +64,11 @@ def test_keys_survive_packing():
     assert (lm._unzip_keys(lm._zip_keys(k)) == k).all()
     at = lm._ranges(k, 7)
     assert at[0] == 0 and at[-1] == len(k) and all(int(k[i]) * 7 >> 64 >= r for r, i in enumerate(at[1:-1], 1) if i < len(k))
+
+
+def test_blocks_keep_every_document_with_its_kind(spark):
+    rows = [(i, f"word{i} and word{i % 7}") for i in range(60)] + [(None, None)]
+    packed = lm.blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    folds = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 for i, _ in rows}
+    got = [(d.doc_id, d.held_out, d.n, b.held) for b in packed for d in b.rows]
+    assert sorted(map(str, got)) == sorted(str((i, folds[i] == 0, len((t or "").split()) + 1, folds[i] == 1)) for i, t in rows)

@@ -88,13 +88,13 @@ def blocks(docs: DataFrame, held_parts: int = 10) -> DataFrame:
         hashes = held("words", "hashes", None, WordHashes)
         open_ = {False: ([], [], 0), True: ([], [], 0)}
 
-        def flush(held):
+        def flush(em):
             nonlocal made
-            docs_, arrays, size = open_[held]
-            open_[held] = ([], [], 0)
+            docs_, arrays, size = open_[em]
+            open_[em] = ([], [], 0)
             vocabulary, places = np.unique(np.concatenate(arrays), return_inverse=True)
             places = places.astype("<u4")
-            row = {"block": (part << 32) + made, "held": held, "rows": docs_, "vocabulary": vocabulary.astype("<u8").tobytes(),
+            row = {"block": (part << 32) + made, "held": em, "rows": docs_, "vocabulary": vocabulary.astype("<u8").tobytes(),
                    "places": _zip(places.view(np.uint8).reshape(-1, 4).T), "tokens": size, "n_keys": len(vocabulary) + size}
             made += 1
             return pa.RecordBatch.from_pylist([row], schema)
@@ -105,16 +105,16 @@ def blocks(docs: DataFrame, held_parts: int = 10) -> DataFrame:
                 h = np.empty(len(words) + 1, dtype=np.uint64)
                 h[:-1] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
                 h[-1] = END
-                held = f == 1  # the fold whose counts are held out while the weights are learned
-                d, a, size = open_[held]
+                em = f == 1  # the fold whose counts are held out while the weights are learned
+                d, a, size = open_[em]
                 d.append({"doc_id": doc, "held_out": f == 0, "n": len(h)})
                 a.append(h)
-                open_[held] = (d, a, size + len(h))
+                open_[em] = (d, a, size + len(h))
                 if size + len(h) >= BLOCK_TOKENS:
-                    yield flush(held)
-        for held in (False, True):
-            if open_[held][0]:
-                yield flush(held)
+                    yield flush(em)
+        for em in (False, True):
+            if open_[em][0]:
+                yield flush(em)
 
     return store(rows.mapInArrow(gather, BLOCK), "lm-blocks")
 
