@@ -3,14 +3,17 @@
 import os
 import tempfile
 
+import numpy as np
 import pytest
-from conftest import SF001
+from conftest import SF001, SF0001
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vigil.models import iforest as ifo
 from vigil.models import metrics as mt
 from vigil.models import pipeline as pl
 from vigil.models.split import split
+from vigil.sources import views as v
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +160,49 @@ def test_no_small_node_is_split_and_sql_scores_the_exported_nodes(spark):
         SELECT reading_id, avg(value) AS p FROM w WHERE l < 0 GROUP BY reading_id""").fetchall()
     assert len(want) == len(got)
     assert max(abs(got[k] - p) for k, p in want) < 1e-9
+
+
+def test_training_partitions_are_bounded_by_rows(spark):
+    from vigil.session import stored_by_rows
+
+    df = spark.range(0, 1000, 1, 2).selectExpr("id AS reading_id", "id % 7 = 0 AS is_test")
+    got = stored_by_rows(df, 100, "rows")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 1000 and got.filter("is_test").count() == 143
+    assert str(1 << 30) not in {s.conf.get("spark.sql.files.openCostInBytes") for s in (spark, SparkSession.getActiveSession())}
+
+
+def test_training_table_is_cut_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pl, "TRAINING_ROWS", 150)
+    monkeypatch.setattr(pl.cls, "fit_forest", lambda train, *a, **k: seen.append(train) or (_ for _ in ()).throw(RuntimeError("enough")))
+    with pytest.raises(RuntimeError, match="enough"):
+        pl.train_all(v.readings(spark, SF0001), ["temperature", "vibration"], n_trees=2)
+    assert max(r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()) <= 150
+
+
+def test_isolation_sample_and_paths_equal_the_plain_forms(spark):
+    x = spark.range(300).selectExpr("id AS reading_id", "CAST(id * 37 % 101 AS DOUBLE) AS a", "CAST(id * 11 % 13 AS DOUBLE) AS b")
+    got = {(r.tree_id, r._id) for r in ifo._sample(x, ["a", "b"], 300, 5, 16, 42, "reading_id").collect()}
+    keep = int(4 * 16 / 300 * (1 << 32))
+    drawn = x.select("reading_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t")).select(
+        "reading_id", "t", F.pmod(F.xxhash64(F.lit(42), "t", "reading_id"), F.lit(1 << 32)).alias("u"), F.xxhash64(F.lit(43), "t", "reading_id").alias("o")).collect()
+    want = set()
+    for t in range(5):
+        want |= {(t, r.reading_id) for r in sorted((r for r in drawn if r.t == t and r.u < keep), key=lambda r: (r.o, r.reading_id))[:16]}
+    assert got == want
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(200, 2))
+    trees = []
+    for _ in range(4):
+        a = np.asarray(ifo._grow(m[rng.choice(200, 32)], rng, 5), dtype=object)
+        trees.append(tuple(a[:, k].astype(float if k == 1 else "int32") for k in range(5)))
+    def path(row):
+        total = 0.0
+        for feat, thr, left, right, size in trees:
+            node = depth = 0
+            while feat[node] >= 0:
+                node, depth = (left if row[feat[node]] < thr[node] else right)[node], depth + 1
+            total += depth + float(ifo.c_factor(size[node]))
+        return total / 4
+    assert np.allclose(ifo._path_lengths(trees, m), [path(r) for r in m], rtol=0, atol=1e-12)
