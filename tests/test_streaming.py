@@ -255,3 +255,40 @@ def test_nan_text_is_rejected(spark):
     raw = spark.createDataFrame([("2024-01-01 00:00:00", "s", "NaN", "1.0", "2.0", "normal"), ("2024-01-01 00:01:00", "s", "3.0", "1.0", "2.0", "normal")],
                                 "timestamp string, sensor_id string, temperature string, vibration string, pressure string, label string")
     assert tuple(rd.validation_counts(rd.type_readings(raw)).first()) == (1, 1)
+
+
+class _Cell:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self, value):
+        self.value, self.calls = value, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def put(self, value):
+        self.calls += 1
+        self.value = value
+
+    update = put
+
+
+def test_carry_rows_asks_the_store_little_and_gives_one_frame_per_chunk():
+    import pandas as pd
+
+    from vigil.streaming.keyed_state import KIND, CarryRows
+
+    op = CarryRows(["reading_id", "timestamp", "sensor_id", "temperature", "label"], ["temperature"], 2)
+    op.tail, op.known = _Cell([]), _Cell(None)
+    chunk = pd.DataFrame({"reading_id": [3, 1, 2, 4], "at_us": [30, 10, 20, None], "temperature": [None, 1.5, None, 9.0], "label": ["a", None, "b", "c"]})
+    frames = list(op.handleInputRows(("s",), iter([chunk]), None))
+    assert [list(f[KIND]) for f in frames] == [["new", "new", "new", "late"]]
+    assert op.tail.value == [(2, 20, None, "b"), (3, 30, None, "a")] and op.known.value == (10, 1, 1.5)
+    assert (op.tail.calls, op.known.calls) == (2, 1)
+    frames = list(op.handleInputRows(("s",), iter([pd.DataFrame({"reading_id": [9, 5], "at_us": [20, 40], "temperature": [7.0, 8.0], "label": ["x", "y"]})]), None))
+    assert [list(f[KIND]) for f in frames] == [["carry", "carry", "late", "new"]]
+    assert frames[0]["temperature"].tolist()[0] == 1.5 and str(frames[0]["timestamp"].iloc[3]) == "1970-01-01 00:00:00.000040"
+    assert op.tail.value == [(3, 30, None, "a"), (5, 40, 8.0, "y")]
+    op.tail, op.known = _Cell([]), _Cell(None)
+    assert list(op.handleInputRows((None,), iter([chunk.iloc[:1]]), None))[0][KIND].tolist() == ["late"]
