@@ -112,3 +112,8 @@ def test_query(spark, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_decoding_keeps_the_bytes_of_ids_only(text, monkeypatch):
+    monkeypatch.setattr(lb, "Vocabulary", None)  # the library's tables are not wanted
+    assert len(lb.token_bytes(text)) > 50_000 and lb.SLICE_CHARS <= 1_000_000

@@ -24,6 +24,7 @@ import json
 import os
 import re
 import tempfile
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from vigil.llm.tokens import byte_signs
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 64
 #: A worker looks at so many characters at a time, and remembers the ids of so many bytes of unseen words.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 REMEMBERED_BYTES = 24_000_000
 
 #: Fixed value: the published pattern of byte-level vocabularies, with white space named by its Unicode property.
@@ -59,22 +60,19 @@ class Vocabulary:
         kind = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("not a plain byte-level BPE vocabulary")
-        vocab, signs = spec["model"]["vocab"], byte_signs()
-        self._signs = signs
-        back = {s: b for b, s in signs.items()}
+        self._signs = byte_signs()
         self.marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special marks that take in their surroundings")
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.marks.values()]))
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token)
-        for token, i in self.marks.items():
-            self.bytes_of[i] = token.encode()
         self.mark = re.compile("(" + "|".join(sorted(map(re.escape, self.marks), key=len, reverse=True)) + ")") if self.marks else None
-        self._words = regex.compile(_PATTERN).findall
+        self._json, self._words = tokenizer_json, regex.compile(_PATTERN).findall
         library = Tokenizer.from_str(tokenizer_json)
         self._library, self._merges = library.pre_tokenizer, library.model
 
+    @cached_property
+    def bytes_of(self) -> list[bytes]:
+        return token_bytes(self._json)
+
     def words(self, piece: str) -> list[str]:
         if max(piece, default="") < _SAME_LETTERS:
             return self._words(piece)
@@ -89,6 +87,19 @@ class Vocabulary:
         return [i for w in self.words(piece) for i in self.merged(w.encode())]
 
 
+def token_bytes(tokenizer_json: str) -> list[bytes]:
+    """The bytes of every id, special marks spelt out: all that decoding needs."""
+    spec = json.loads(tokenizer_json)
+    vocab, back = spec["model"]["vocab"], {s: b for b, s in byte_signs().items()}
+    marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [b""] * (1 + max([*vocab.values(), *marks.values()]))
+    for token, i in vocab.items():
+        out[i] = bytes(back[c] for c in token)
+    for token, i in marks.items():
+        out[i] = token.encode()
+    return out
+
+
 # ------------------------------------------------------------------ automaton
 def compiled(entries: list[tuple[bytes, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     """Minimal acyclic transducer of (word, ids), words distinct.
@@ -405,7 +416,7 @@ def decoded(rows: DataFrame, tokenizer_json: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        of = _worker_vocabulary(tokenizer_json).bytes_of.__getitem__
+        of = held("lexicon", "bytes", hash(tokenizer_json), lambda: token_bytes(tokenizer_json)).__getitem__
         for b in batches:
             column = b.column("ids")
             for first in range(0, b.num_rows, 512):
