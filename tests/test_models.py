@@ -181,6 +181,18 @@ def test_training_table_is_cut_by_rows(spark, monkeypatch):
     assert max(r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()) <= 150
 
 
+def test_forest_and_logistic_never_hold_the_training_rows_at_once(spark, monkeypatch):
+    ended, seen, fit = [], [], pl.cls.fit_logistic
+    monkeypatch.setattr(pl.cls, "fit_logistic", lambda *a, **k: (fit(*a, **k), ended.append(1))[0])
+    monkeypatch.setattr(pl.cls, "fit_forest", lambda *a, **k: seen.append(len(ended)) or (_ for _ in ()).throw(RuntimeError("enough")))
+    r = spark.range(400).selectExpr(
+        "id AS reading_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS timestamp", "'s' || id % 3 AS sensor_id",
+        "CAST(id * 37 % 101 AS DOUBLE) AS temperature", "CAST(id * 11 % 13 AS DOUBLE) AS vibration", "if(id % 5 = 0, 'failure', 'normal') AS label")
+    with pytest.raises(RuntimeError, match="enough"):
+        pl.train_all(r, ["temperature", "vibration"], n_trees=2, do_clean=False)
+    assert seen == [1]  # logistic fits that had ended when the forest began
+
+
 def test_isolation_sample_and_paths_equal_the_plain_forms(spark):
     x = spark.range(300).selectExpr("id AS reading_id", "CAST(id * 37 % 101 AS DOUBLE) AS a", "CAST(id * 11 % 13 AS DOUBLE) AS b")
     got = {(r.tree_id, r._id) for r in ifo._sample(x, ["a", "b"], 300, 5, 16, 42, "reading_id").collect()}
