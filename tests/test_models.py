@@ -218,3 +218,86 @@ def test_isolation_sample_and_paths_equal_the_plain_forms(spark):
             total += depth + float(ifo.c_factor(size[node]))
         return total / 4
     assert np.allclose(ifo._path_lengths(trees, m), [path(r) for r in m], rtol=0, atol=1e-12)
+
+
+def test_the_forest_keeps_no_training_rows(spark, monkeypatch):
+    """Spark ML's forest, which keeps 2 kB of each row, is never given the training rows."""
+    from vigil.models import classifiers as cls
+
+    given, fit = [], cls.RandomForestClassifier.fit
+    monkeypatch.setattr(cls.RandomForestClassifier, "fit", lambda self, df, *a: given.append(df.count()) or fit(self, df, *a))
+    df = spark.range(3000).selectExpr("CAST(id * 37 % 101 AS DOUBLE) AS a", "CAST(id * 11 % 13 AS DOUBLE) AS b", "CAST(id % 5 = 0 AS DOUBLE) AS y")
+    model = cls.fit_forest(df, ["a", "b"], numTrees=4, maxDepth=5)
+    assert max(given) <= 64 and model.stages[-1].getNumTrees == 4
+    with pytest.raises(ValueError, match="labelled 0 or 1"):
+        cls.fit_forest(df.withColumn("y", F.lit(None).cast("double")), ["a", "b"])
+
+
+def test_forest_nodes_hold_the_rows_that_reach_them(spark):
+    """Every node's counts are those of the bagged rows that its decisions lead to, and its split has the best Gini gain."""
+    from vigil.models import forest as fo
+
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(size=900), rng.integers(0, 4, 900), rng.normal(size=900)], 1)
+    x[::50, 2] = np.nan
+    y = ((x[:, 0] + x[:, 1] > 1.5) ^ (rng.random(900) < 0.1)).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(k)) for r, k in zip(x, y)], "a double, b double, c double, y double").repartition(3)
+    nodes = fo.grow(df, ["a", "b", "c"], "y", 3, 4, 7, "all")
+    points = [fo.split_points(x[:, k]) for k in range(3)]
+    rows = fo.binned(df, ["a", "b", "c"], "y", points, 3, 7).collect()
+    bins, bag, label = (np.array(v) for v in ([list(r.x) for r in rows], [list(r.bag) for r in rows], [r.y for r in rows]))
+    assert 0.9 < bag.mean() < 1.1
+
+    def counts(keep, w):
+        return np.array([w[keep & (label == k)].sum() for k in (0, 1)], dtype=float)
+
+    def gini(n):
+        return 1 - ((n / n.sum()) ** 2).sum() if n.sum() else 0.0
+
+    inner = 0
+    for t, tree in nodes.groupby("treeID"):
+        tree, w = tree.set_index("id"), bag[:, t].astype(float)
+        stack = [(0, np.ones(len(rows), dtype=bool))]
+        while stack:
+            i, at = stack.pop()
+            n = counts(at, w)
+            assert list(tree.impurityStats[i]) == list(n) and tree.prediction[i] == float(n[1] > n[0])
+            if tree.leftChild[i] < 0:
+                continue
+            inner += 1
+            gains = []
+            for f in range(3):
+                for b in range(len(points[f])):
+                    l, r = counts(at & (bins[:, f] <= b), w), counts(at & (bins[:, f] > b), w)
+                    if l.sum() and r.sum():
+                        gains.append((gini(n) - l.sum() / n.sum() * gini(l) - r.sum() / n.sum() * gini(r), f, points[f][b]))
+            f, at_value = tree.featureIndex[i], tree.threshold[i][0]
+            assert abs(tree.gain[i] - max(gains)[0]) < 1e-12 and any(abs(g - max(gains)[0]) < 1e-12 and (f, at_value) == (k, v) for g, k, v in gains)
+            goes_left = bins[:, f] <= np.flatnonzero(points[f] == at_value)[0]
+            stack += [(tree.leftChild[i], at & goes_left), (tree.rightChild[i], at & ~goes_left)]
+    assert inner > 10
+
+
+def test_split_points_lie_between_values():
+    from vigil.models.forest import split_points
+
+    assert split_points(np.array([3.0, 1.0, 1.0, np.nan, 2.0])).tolist() == [1.5, 2.5]
+    assert split_points(np.array([4.0, 4.0])).tolist() == []
+    many = split_points(np.arange(10_000.0))
+    assert len(many) == 31 and np.ptp(np.diff(many)) <= 1
+    tied = split_points(np.array([0.0] * 5000 + list(range(1, 5001))))  # a value with half of the rows
+    assert len(tied) <= 31 and tied[0] == 0.5
+
+
+def test_accuracy_and_auc_read_stored_predictions(spark, fixture, monkeypatch):
+    plans, auc = [], mt.auc
+    monkeypatch.setattr(mt, "auc", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or auc(df, *a))
+    pl.train_all(fixture, pl.feature_set("basic6"), n_trees=2, forest_kw={"numTrees": 2, "maxDepth": 2})
+    assert len(plans) == 2 and not any("UDF" in p for p in plans)
+
+
+def test_wide_rows_pass_through_methods_that_are_compiled(spark):
+    from vigil.session import ship_package
+
+    ship_package(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
